@@ -104,8 +104,8 @@ def shingle_hashes(starts: np.ndarray, word_hashes: np.ndarray, n: int) -> tuple
         at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         out[np.repeat(begins[long_ones], sizes) + at] = sums[np.repeat(starts[long_ones], sizes) + at]
     for i in np.flatnonzero((counts > 0) & (counts < n)):
-        value = np.uint64(counts[i])
+        value = np.array([counts[i]], dtype=np.uint64)
         for w in word_hashes[starts[i] : starts[i + 1]]:
-            value = mixed(np.array([value + w], dtype=np.uint64))[0]
-        out[begins[i]] = value
+            value = mixed(value + w)
+        out[begins[i]] = value[0]
     return out, begins

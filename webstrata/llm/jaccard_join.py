@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.common import hashes_of, shingle_hashes, steps, words_of, written
 from webstrata.llm.components import components
-from webstrata.llm.signature_tree import Tree, candidates
+from webstrata.llm.signature_tree import FAN, Tree, candidates, possible
 
 #: Cells of the frequency sketch; bits of a set's bitmap; bits of the filter that picks which sets are worked out again.
 CELLS, BITMAP, FILTER = 1 << 18, 2048, 1 << 25
-#: A shingle that the sketch counts in more documents is dealt out over several buckets; sets in a block of step 4; prefix shingles a bucket of step 3.
-HOT, BLOCK, BUCKET = 50_000, 4096, 1_000_000
+#: A shingle that the sketch counts in more documents is dealt out over several buckets; sets in a block of step 4; prefix shingles a bucket of
+#: step 3, and sets a bucket of step 4.
+HOT, BLOCK, BUCKET, TRAVERSED = 50_000, 4096, 1_000_000, 30_000
 PIECE = 1 << 10
 
 
@@ -171,24 +172,58 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(tokens.view(np.int64)), take(who), pa.array(sizes[who]), take(leader), pa.array(sizes[leader])], names=["token", "digest", "size", "leader", "leader_size"])
 
 
+def _all_pairs(firsts: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j within each run."""
+    i = np.repeat(firsts, runs * runs)
+    k = np.arange(len(i)) - np.repeat(np.cumsum(runs * runs) - runs * runs, runs * runs)
+    n = np.repeat(runs, runs * runs)
+    a, b = k // n, k % n
+    ok = a < b
+    return i[ok] + a[ok], i[ok] + b[ok]
+
+
 def _traverse(percent: int):
+    """Of the shingles of one bucket, pairs of sets of different components that their signature trees don't rule out."""
+
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        roots = {r: i for i, r in enumerate(dict.fromkeys(rows["root"]))}
-        groups, sizes = np.array([roots[r] for r in rows["root"]]), np.array(rows["size"], np.int64)
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(sizes), -1)
-        side = np.array(rows["side"])
-        if (side == 0).any() and (side == 1).any():
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            i, j = candidates(Tree(sizes[left], bits[left], groups[left]), Tree(sizes[right], bits[right], groups[right]), percent)
-            i, j = left[i], right[j]
-        elif rows["part"][0] == rows["part2"][0]:
-            tree = Tree(sizes, bits, groups)
-            i, j = candidates(tree, tree, percent)
-        else:
-            i = j = np.zeros(0, np.int64)
-        ok = groups[i] != groups[j]
-        pairs = list({(min(a, b), max(a, b)) for a, b in ((rows["digest"][x], rows["digest"][y]) for x, y in zip(i[ok], j[ok]))})
+        sizes = table.column("size").to_numpy()
+        digests = np.array([np.void(x) for x in table.column("digest").to_pylist()], dtype="V16")
+        groups = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct, codes = np.unique(digests, return_inverse=True)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(sizes), -1)
+        tokens, part, part2, side = (table.column(c).to_numpy() for c in ("token", "part", "part2", "side"))
+        by = np.lexsort((side, part2, part, tokens))
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = (np.diff(tokens[by]) != 0) | (np.diff(part[by]) != 0) | (np.diff(part2[by]) != 0)
+        firsts = np.flatnonzero(fresh)
+        runs = np.diff(np.concatenate([firsts, [len(by)]]))
+        whole = part[by][firsts] == part2[by][firsts]
+        # few sets: all in one leaf, so its pairs are the traversal
+        few = whole & (runs <= 2 * FAN)
+        x, y = _all_pairs(firsts[few], runs[few])
+        found = [np.stack([by[x], by[y]])]
+        for first, n, one in zip(firsts[~few], runs[~few], whole[~few]):
+            rows = by[first : first + n]
+            if one:
+                tree = Tree(sizes[rows], bits[rows], groups[rows])
+                x, y = candidates(tree, tree, percent)
+                found.append(np.stack([rows[x], rows[y]]))
+            else:
+                left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+                if len(left) and len(right):
+                    x, y = candidates(Tree(sizes[left], bits[left], groups[left]), Tree(sizes[right], bits[right], groups[right]), percent)
+                    found.append(np.stack([left[x], right[y]]))
+        x, y = np.concatenate(found, axis=1)
+        ok = groups[x] != groups[y]
+        x, y = x[ok], y[ok]
+        low, high = np.minimum(codes[x], codes[y]), np.maximum(codes[x], codes[y])
+        _, once = np.unique(low * np.int64(len(distinct)) + high, return_index=True)
+        x, y = x[once], y[once]
+        leaf = Tree(sizes, bits, groups)
+        at = np.empty(len(sizes), np.int64)
+        at[leaf.order] = np.arange(len(sizes))
+        keep = np.concatenate([possible(leaf, at[x[s : s + 100_000]], 0, leaf, at[y[s : s + 100_000]], 0, percent) for s in range(0, len(x), 100_000)] or [np.zeros(0, bool)])
+        pairs = [sorted((bytes(digests[a]), bytes(digests[b]))) for a, b in zip(x[keep], y[keep])]
         return pa.table([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
 
     return run
@@ -262,11 +297,13 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     open_ = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high").select("token", "sets")
     open_ = written(open_, "open")
     rows = labelled.join(open_, "token").join(nodes.select("digest", "bits"), "digest")
-    parts = F.ceil(F.col("sets") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("parts", F.ceil(F.col("sets") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("part"), F.greatest("own", "other").alias("part2"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "digest", "size", "root", "bits")
-    pairs = rows.groupBy("token", "part", "part2").applyInArrow(_traverse(percent), "a binary, b binary")
+    rows = rows.select("token", F.least("own", "other").alias("part"), F.greatest("own", "other").alias("part2"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "digest", "size", "root", "bits")
+    # many shingles with few sets share a bucket; a block pair of a shingle with many is at most 2 * BLOCK of its rows
+    sets = open_.agg(F.sum("sets")).first()[0] or 0
+    tasks = max(parallel, sets // TRAVERSED + 1)
+    pairs = rows.withColumn("bucket", F.pmod(F.xxhash64("token", "part", "part2"), F.lit(tasks))).groupBy("bucket").applyInArrow(_traverse(percent), "a binary, b binary")
     pairs = written(pairs.distinct(), "pairs")
     more = linked(docs, nodes, pairs, words, percent)
     roots = written(components(links.unionByName(more)), "roots")
