@@ -22,6 +22,8 @@ from webstrata.llm.common import steps
 SAMPLE_TEXTS, SAMPLE_BYTES = 3000, 24_000_000
 #: Size of a dictionary; level of compression.
 DICTIONARY, LEVEL = 112_640, 3
+#: A text is compressed in blocks of so many bytes, all of them: further on, a compressor leans on the text before instead of its dictionary.
+BLOCK = 1024
 #: Every so many-th sampled text fits the curve instead of a dictionary.
 CURVE_EVERY = 3
 
@@ -48,7 +50,8 @@ class Scorer:
         """How many bytes a byte the bad class's dictionary saves over the good one's; 0 for no text."""
         if not text:
             return 0.0
-        return (len(self.good.compress(text)) - len(self.bad.compress(text))) / len(text)
+        blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+        return sum(len(self.good.compress(b)) - len(self.bad.compress(b)) for b in blocks) / len(text)
 
     def score(self, text: bytes) -> float:
         """Probability that the label is 1."""
