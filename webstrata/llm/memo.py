@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
 
 class Memo:
-    """Ids of words, encoded once while the worker remembers them; past `most` words it starts afresh."""
+    """Ids of words, encoded once while the worker remembers them; past `most` words it starts afresh.
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], most: int = 400_000):
+    encode gives how many ids each word has, and all ids in a row."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.forget()
 
@@ -25,12 +26,11 @@ class Memo:
             self.forget()
         new = [w for w in words if w not in self.place]
         if new:
-            ids = list(self.encode(new))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            sizes, ids = self.encode(new)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             self.firsts = np.concatenate([self.firsts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+            self.flat = np.concatenate([self.flat, ids])
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def of(self, words: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm.common import steps, written
+from webstrata.llm.memo import Memo
+from webstrata.llm.merges import Merges
 
 #: Documents in a group, on average. A group is packed by one task, in memory: 4 longs a piece.
 GROUP_DOCS = 20_000
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 END = 1
 
 
@@ -34,32 +36,16 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.known: dict[str, np.ndarray] = {}
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        self.memo = Memo(Merges(tokenizer).encode, REMEMBERED)
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.ascii_split_whitespace(texts)
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         starts = lists.offsets.to_numpy()
-        coded = lists.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
-        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype=np.uint32)
-        ids = [self.known[w] for w in words]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        if not len(sizes):
-            return [np.zeros(0, np.uint32)] * len(texts)
-        firsts = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        at = np.repeat(firsts[codes] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        flat = np.concatenate(ids)[at]
-        ends = np.concatenate([[0], np.cumsum(each)])[(starts - starts[0])]
-        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        ids, ends = self.memo.of(lists.values.slice(starts[0], starts[-1] - starts[0]), starts - starts[0])
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 @lru_cache(maxsize=4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,11 @@ class PieceIds:
         self.space_id = self.model.piece_to_id(SPACE)
         self.memo = Memo(self.encoded)
 
-    def encoded(self, segments: list[str]) -> list[list[int]]:
-        """Ids of segments; each is a text's part without its first space."""
-        return [ids if s else [self.space_id] for s, ids in zip(segments, self.model.encode(segments, num_threads=1))]
+    def encoded(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each segment has, and all in a row; a segment is a text's part without its first space."""
+        ids = [own if s else [self.space_id] for s, own in zip(segments, self.model.encode(segments, num_threads=1))]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's start."""
