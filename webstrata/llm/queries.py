@@ -15,6 +15,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webstrata.llm.url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webstrata.llm.topk_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,10 +61,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op5_quality_rules, op6_jaccard_join, op7_line_dedup, op8_quality_classifier, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op4_topk_search, op5_quality_rules, op6_jaccard_join, op7_line_dedup, op8_quality_classifier, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from webstrata.llm import line_dedup
+    from webstrata.llm import line_dedup, topk_search
 
-    return {"op7_line_dedup": line_dedup.SQL}
+    return {"op4_topk_search": topk_search.SQL, "op7_line_dedup": line_dedup.SQL}
