@@ -53,6 +53,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from webstrata.llm.sentencepieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op4_topk_search, op5_quality_rules, op6_jaccard_join, op7_line_dedup, op8_quality_classifier, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op4_topk_search, op5_quality_rules, op6_jaccard_join, op7_line_dedup, op8_quality_classifier, op9_sentencepieces, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
