@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from webstrata.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from webstrata.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webstrata.llm.secret_scan import secret_scan
 
@@ -69,7 +75,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op4_topk_search, op5_quality_rules, op6_jaccard_join, op7_line_dedup, op8_quality_classifier, op9_sentencepieces, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_url_filter, op4_topk_search, op5_quality_rules, op6_jaccard_join, op7_line_dedup, op8_quality_classifier, op9_sentencepieces, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
