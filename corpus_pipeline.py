@@ -1,8 +1,78 @@
-"""The corpus pipeline; its stages follow."""
+"""A corpus pipeline over `documents`: quality rules, line dedup, near-duplicate join, secret scan, packing.
 
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last
+return the columns of documents, with the stage's decisions applied.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webstrata.llm.common import table, written
+from webstrata.llm.jaccard_join import jaccard_components
+from webstrata.llm.line_dedup import line_dedup
+from webstrata.llm.packing import pack
+from webstrata.llm.quality_rules import quality_rules
+from webstrata.llm.secret_scan import secret_scan
+
+#: Packing depends on cuts, and quality on a tokeniser: SQL can't express the rows. Each stage is tested against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+OTHERS = ("lang", "source", "n_chars")
+MASK = "[SECRET]"
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"), carry=("text", *OTHERS))
+    return judged.where("kept").select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that repeat across documents; n_chars follows."""
+    return line_dedup(docs, carry=("lang", "source")).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five words, 0.8): the one with the smallest doc_id.
+
+    Of rows that share a doc_id one stays. Rows without doc_id can't be named by a group; of those only wholly equal texts go.
+    """
+    docs = docs.select(*COLUMNS)
+    keepers = jaccard_components(docs, words=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
+    return kept.unionByName(nameless)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every credential masked; n_chars follows."""
+    scanned = secret_scan(docs, mask=MASK, carry=("lang", "source"))
+    return scanned.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.char_length("redacted").cast("long").alias("n_chars"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", drop_lines),
+    ("near duplicates", drop_near_duplicates),
+    ("secret scan", mask_secrets),
+    ("packing", pack_sequences),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name.replace(" ", "-"))
+    return docs
