@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webstrata.plans import derived, native
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return native.QUERIES | derived.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return native.SQL | derived.SQL
