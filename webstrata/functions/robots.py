@@ -100,7 +100,8 @@ def allows(rules: list[Rule], url: str) -> bool:
 
 def verdict(target: Column, rules: Column) -> Column:
     """The same for a path with query, and array<struct<pattern, allowed>>; the engine's regular expressions do the matching."""
-    body = lambda p: F.regexp_replace(p, r"\$\z", "")
-    quoted = lambda p: F.concat(F.lit("^\\Q"), F.regexp_replace(body(p), r"\*+", "\\\\\\\\E.*\\\\\\\\Q"), F.lit("\\E"), F.when(p.endswith("$"), "$").otherwise(""))
+    # literal runs quoted, joined by any run
+    runs = lambda p: F.transform(F.split(F.regexp_replace(p, r"\$\z", ""), r"\*+"), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E")))
+    quoted = lambda p: F.concat(F.lit("^"), F.array_join(runs(p), ".*"), F.when(p.endswith("$"), "$").otherwise(""))
     longest = lambda yes: F.aggregate(F.filter(rules, lambda r: (r["allowed"] == yes) & F.rlike(target, quoted(r["pattern"]))), F.lit(-1), lambda a, r: F.greatest(a, F.octet_length(r["pattern"])))
     return longest(True) >= longest(False)

@@ -1,4 +1,224 @@
-"""Queries whose operators parse markup or keep state."""
+"""Queries whose operators parse markup, follow links or keep state."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webstrata.functions import readability, robots, udfs, urls
+from webstrata.operators import archive, assets, crawl
+from webstrata.plans import export
+from webstrata.plans.native import all_links, captures, values
+from webstrata.plans.sql import CAPTURES, LINKS, over
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures(spark, sf_dir, True).withColumn("html", F.col("body").cast("string")).drop("body")
+
+
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return udfs.metadata_records(html_pages(spark, sf_dir), ["page_id", "item_id", "capture_id"])
+
+
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prose of every distinct page: what is the same in bytes and address is read once."""
+    pages = html_pages(spark, sf_dir)
+    titles = metadata(spark, sf_dir).select("page_id", F.col("title.value").alias("title"), "accessible_for_free")
+    return udfs.articles(pages.join(titles, "page_id"), ["page_id", "item_id", "capture_id"])
+
+
+@query(over(CAPTURES, "SELECT page_id, canonical_url FROM cap"))
+def canonical_url_standard(spark, sf_dir):
+    """The general form, by the URL standard; on plain addresses the same as the native one."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", udfs.canonical_url_udf("url").alias("canonical_url"))
+
+
+@query(over(LINKS, "SELECT page_id, link FROM links GROUP BY 1, 2"))
+def links_by_scan(spark, sf_dir):
+    """Links from the tag scan; on simple pages the same as from the native pattern."""
+    return metadata(spark, sf_dir).select("page_id", F.explode("links.url").alias("link"))
+
+
+@query()
+def metadata_record(spark, sf_dir):
+    rows = metadata(spark, sf_dir)
+    return rows.select("page_id", "extractor_version", F.col("title.value").alias("title"), F.col("title.source").alias("title_source"), F.col("language.value").alias("language"), F.size("links").alias("n_links"), F.size("assets").alias("n_assets"), F.array_join("truncated", ",").alias("truncated"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS language FROM pages")
+def page_language(spark, sf_dir):
+    return metadata(spark, sf_dir).select("page_id", F.col("language.value").alias("language"))
+
+
+@query()
+def page_peak_open_elements(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", udfs.peak_open_elements_udf("html").alias("peak"))
+
+
+@query()
+def article_markdown(spark, sf_dir):
+    return extracted(spark, sf_dir).select("page_id", "state", "rules", "word_count", "share.article_chars", "share.page_chars", F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
+@query()
+def article_by_site_rule(spark, sf_dir):
+    """Hosts with a rule read only what it names."""
+    pages = html_pages(spark, sf_dir).withColumn("title", F.lit(None).cast("string"))
+    hosts = [r.host_dir for r in pages.select("host_dir").distinct().orderBy("host_dir").limit(5).collect()]
+    rules = {h: readability.SiteRule("the body is an article element", ("article",), ("h1",)) for h in hosts}
+    return udfs.articles(pages, ["page_id"], rules).where(F.col("rules").startswith("site:")).select("page_id", "state", "rules", "word_count")
+
+
+@query()
+def vault_notes(spark, sf_dir):
+    rows = captures(spark, sf_dir)
+    titles = metadata(spark, sf_dir).select("item_id", "capture_id", F.col("title.value").alias("title"))
+    vault = export.linked(export.notes(rows, extracted(spark, sf_dir), titles))
+    files = export.note_texts(vault).unionByName(export.host_indexes(vault))
+    return files.select("path", F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("bytes"))
+
+
+SRCSETS = "(1, '/dense.png 4x, /wide.png 100w'), (2, '/broken.png ???, /plain.png 2x'), (3, '  ,  , '), (4, 'a.png, b.png 2x, c.png 1.5x'), (5, '/i,w=1.png 1x'), (6, 'a.png 2x, b.png 2x')"
+
+
+@query("SELECT * FROM (VALUES (1, '/wide.png'), (2, '/plain.png'), (3, NULL), (4, 'b.png'), (5, '/i,w=1.png'), (6, 'a.png')) t(id, widest)")
+def srcset_widest(spark, sf_dir):
+    return values(spark, SRCSETS, "id, srcset").select("id", udfs.srcset_widest_udf("srcset").alias("widest"))
+
+
+@query("SELECT * FROM (VALUES (1, '/dense.png', '4x'), (1, '/wide.png', '100w'), (2, '/broken.png', '???'), (2, '/plain.png', '2x'), (4, 'a.png', NULL), (4, 'b.png', '2x'), (4, 'c.png', '1.5x'), (5, '/i,w=1.png', '1x'), (6, 'a.png', '2x'), (6, 'b.png', '2x')) t(id, url, descriptor)")
+def srcset_candidates(spark, sf_dir):
+    return values(spark, SRCSETS, "id, srcset").select("id", F.inline(udfs.srcset_candidates_udf("srcset")))
+
+
+RULES = "('/p/*/comment/*', false), ('/*.pdf$', false), ('/price$list', false), ('/a', false), ('/a', true), ('/private', false), ('/private/open', true)"
+TARGETS = "(1, '/p/1/comment/2'), (2, '/x.pdf'), (3, '/x.pdf?a'), (4, '/price$list/9'), (5, '/ab'), (6, '/'), (7, '/private/x'), (8, '/private/open/x')"
+ROBOTS_SQL = rf"""WITH r(pattern, allowed) AS (VALUES {RULES}), t(id, target) AS (VALUES {TARGETS}),
+m AS (SELECT id, allowed, length(pattern) AS n FROM t JOIN r ON regexp_matches(target, '^' || replace(replace(replace(regexp_replace(pattern, '\$$', ''), '.', '\.'), '$', '\$'), '*', '.*') || CASE WHEN pattern LIKE '%$' THEN '$' ELSE '' END))
+SELECT t.id, coalesce(max(n) FILTER (WHERE allowed), -1) >= coalesce(max(n) FILTER (WHERE NOT allowed), -1) AS allowed FROM t LEFT JOIN m USING (id) GROUP BY 1"""
+
+
+@query(ROBOTS_SQL)
+def robots_verdict(spark, sf_dir):
+    rules = values(spark, RULES, "pattern, allowed").agg(F.collect_list(F.struct("pattern", "allowed")).alias("rules"))
+    return values(spark, TARGETS, "id, target").crossJoin(F.broadcast(rules)).select("id", robots.verdict(F.col("target"), F.col("rules")).alias("allowed"))  # one row of rules
+
+
+ADDRESSES = "(1, 'http://127.1/'), (2, 'http://localhost:8000/a'), (3, 'http://a.localhost/'), (4, 'http://metadata.goog./'), (5, 'http://8.8.8.8/'), (6, 'http://[::ffff:10.0.0.1]/'), (7, 'http://[fe80::1]/'), (8, 'http://172.32.0.1/'), (9, 'http://172.31.0.1/'), (10, 'https://example.com/')"
+
+
+@query("SELECT id, id NOT IN (5, 8, 10) AS internal FROM range(1, 11) t(id)")
+def internal_address(spark, sf_dir):
+    return values(spark, ADDRESSES, "id, url").select(F.col("id").cast("long").alias("id"), udfs.is_internal_udf("url").alias("internal"))
+
+
+CANONICAL = (
+    "('https://WWW.rust-lang.org.:443/learn?utm_medium=email#top'), ('https://bücher.example/a'), ('https://example.com/a/b/../c'), ('https://example.com/a?'), ('https://../../etc/passwd'), ('mailto:a@b'), ('https://'), ('https://example.com/?b=2&a=1&b=1')"
+)
+CANONICAL_SQL = """SELECT * FROM (VALUES ('https://WWW.rust-lang.org.:443/learn?utm_medium=email#top', 'https://rust-lang.org/learn', NULL), ('https://bücher.example/a', 'https://xn--bcher-kva.example/a', NULL), ('https://example.com/a/b/../c', 'https://example.com/a/c', NULL),
+('https://example.com/a?', 'https://example.com/a', NULL), ('https://../../etc/passwd', NULL, 'UnsafeHost'), ('mailto:a@b', NULL, 'UnsupportedScheme'), ('https://', NULL, 'Unparseable'), ('https://example.com/?b=2&a=1&b=1', 'https://example.com/?a=1&b=2&b=1', NULL)) t(url, canonical_url, error)"""
+
+
+@query(CANONICAL_SQL)
+def canonical_cases(spark, sf_dir):
+    return values(spark, CANONICAL, "url").select("url", udfs.canonical_url_udf("url").alias("canonical_url"), udfs.url_error_udf("url").alias("error"))
+
+
+HEAD = "<head><title>Page</title><meta property='og:title' content='Graph'><meta name='description' content='Plain'><meta name='date' content='20260724'></head>"
+
+
+@query("SELECT * FROM (VALUES ('title', 'Graph', 'open_graph'), ('description', 'Plain', 'meta'), ('published_at', '20260724', 'meta')) t(field, value, source)")
+def metadata_precedence(spark, sf_dir):
+    page = spark.range(1).select(F.lit(HEAD).alias("html"), F.lit("https://example.com/").alias("final_url"), F.lit(1).alias("k"))
+    r = udfs.metadata_records(page, ["k"])
+    fields = [F.struct(F.lit(n).alias("field"), F.col(f"{n}.{v}").alias("value"), F.col(f"{n}.source").alias("source")) for n, v in (("title", "value"), ("description", "value"), ("published_at", "raw"))]
+    return r.select(F.inline(F.array(*fields)))
+
+
+SITEMAP = "(1, 'https://example.com/a'), (2, 'https://www.example.com/b'), (3, 'https://other.example/c'), (4, 'https://example.com/d')"
+
+
+@query(f"SELECT count(*) AS listed, count(*) FILTER (WHERE url LIKE 'https://example.com/%') AS taken, count(*) FILTER (WHERE url NOT LIKE 'https://example.com/%') AS off_host FROM (VALUES {SITEMAP}) t(id, url)")
+def sitemap_host_filter(spark, sf_dir):
+    own = urls.host_of(F.col("url")) == "example.com"
+    return values(spark, SITEMAP, "id, url").agg(F.count("*").alias("listed"), F.count_if(own).alias("taken"), F.count_if(~own).alias("off_host"))
+
+
+@query(over(LINKS, "SELECT url AS url, 0 AS depth FROM pages WHERE page_id < 5 UNION SELECT link, 1 FROM links WHERE page_id < 5 AND link NOT IN (SELECT url FROM pages WHERE page_id < 5)"))
+def hop_depths(spark, sf_dir):
+    edges = all_links(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("source")), "page_id").select("source", F.col("link").alias("target"))
+    seeds = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id < 5").select("url")
+    return crawl.hop_depths(edges, seeds, 2)
+
+
+@query("SELECT 'run' AS run_id, user_id % 7 AS capture, count(*) FILTER (WHERE value >= 10) AS stored_or_missed FROM events WHERE false GROUP BY ALL")
+def asset_budget_empty(spark, sf_dir):
+    """The fold over no references gives no rows."""
+    refs = values(spark, "('run', 'c', 1, 'u', 'image')", "run_id, capture_id, place, url, kind").where("false")
+    answers = values(spark, "('u', 'u', 200, 10L, false, cast(null as string))", "url, final_url, status, byte_len, truncated, failure")
+    out = assets.budgeted(refs, answers)
+    return out.groupBy("run_id", F.col("place").cast("long").alias("capture")).agg(F.count("*").alias("stored_or_missed"))
+
+
+@query()
+def asset_budget_fold(spark, sf_dir):
+    """Budgets over references made from the stream of events, a run a user."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    url = F.concat(F.lit("https://a.example/"), (F.col("event_id") % 300).cast("string"))
+    kind = F.element_at(F.lit(["image", "media", "stylesheet", "icon", "script"]), (F.col("event_id") % 5 + 1).cast("int"))
+    refs = events.select(F.col("user_id").cast("string").alias("run_id"), F.date_format("ts", "yyyyMMdd").alias("capture_id"), F.col("event_id").cast("int").alias("place"), url.alias("url"), kind.alias("kind"))
+    answers = events.where("event_id < 300").select(F.concat(F.lit("https://a.example/"), F.col("event_id").cast("string")).alias("url"), F.concat(F.lit("https://a.example/"), F.col("event_id").cast("string")).alias("final_url"), F.lit(200).alias("status"), (F.col("value") * 100_000).cast("long").alias("byte_len"), (F.col("event_id") % 17 == 0).alias("truncated"), F.when(F.col("event_id") % 3 == 0, "timed out").alias("failure"))
+    return assets.budgeted(refs, answers).groupBy("run_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'corrupt' AS status, 0::BIGINT AS n WHERE false UNION ALL SELECT CASE WHEN doc_id % 10 = 0 THEN 'missing' WHEN doc_id % 10 = 1 THEN 'corrupt' ELSE 'ok' END, count(*) FROM documents GROUP BY 1")
+def blob_integrity(spark, sf_dir):
+    """A tenth of the blobs is missing, a tenth damaged."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = F.sha2(F.concat_ws("/", F.col("doc_id").cast("string"), "text"), 256)
+    wanted = docs.select(key.alias("sha256"))
+    body = F.concat_ws("/", F.col("doc_id").cast("string"), "text")
+    blobs = docs.where("doc_id % 10 <> 0").select(key.alias("sha256"), F.when(F.col("doc_id") % 10 == 1, F.concat(body, F.lit("x"))).otherwise(body).alias("bytes"))
+    return archive.read_bodies(wanted, blobs).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY 1")
+def new_blobs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("byte_len"), F.col("text").alias("bytes"))
+    return archive.new_blobs(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")).select("sha256")
+
+
+@query(over(CAPTURES, "SELECT canonical_url, min(fetched_at) AS first_captured_at, max(fetched_at) AS last_captured_at FROM cap GROUP BY 1"))
+def items_widened(spark, sf_dir):
+    """Two halves of the captures, the later one filed first."""
+    rows = captures(spark, sf_dir)
+    return archive.widened(archive.items(rows.where("page_id >= 100")), archive.items(rows.where("page_id < 100")))
+
+
+@query("SELECT CASE WHEN user_id % 3 = 0 THEN 'no_response' WHEN user_id % 3 = 1 THEN 'inside_a_network' ELSE 'filed' END AS outcome, count(*) AS n FROM events GROUP BY 1")
+def page_events_filed(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    url = F.when(F.col("user_id") % 3 == 1, "http://10.0.0.1/x").otherwise(F.concat(F.lit("https://e.example/"), F.col("event_id").cast("string")))
+    rows = events.select(F.when(F.col("user_id") % 3 == 0, "no_response").otherwise("response").alias("kind"), url.alias("final_url"))
+    return crawl.filed(rows).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_events(spark, sf_dir):
+    """The batch form of the stream's windows."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
