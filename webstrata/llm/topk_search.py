@@ -35,10 +35,13 @@ EXACT = 2.0**52
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for x in batch.column("v").to_pylist():
-            x = np.array(x, np.float64)
-            if np.abs(x).max(initial=0) < 1e100:
-                sums[len(x)] = sums.get(len(x), 0) + np.outer(x, x)
+        vectors = batch.column("v")
+        sizes, flat = vectors.value_lengths().to_numpy(), vectors.flatten().to_numpy()
+        firsts = np.cumsum(sizes) - sizes
+        for d in np.unique(sizes):
+            m = flat[(firsts[sizes == d][:, None] + np.arange(d)).ravel()].reshape(-1, d)
+            m = m[np.abs(m).max(axis=1) < 1e100]
+            sums[int(d)] = sums.get(int(d), 0) + m.T @ m
     rows = [(d, i, row.tolist()) for d, m in sums.items() for i, row in enumerate(m)]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["d", "i", "row"])
 
@@ -55,6 +58,8 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
 def products(queries: np.ndarray, candidates: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact inner products of pairs, as far as a long holds them; beyond, the nearest long."""
     if np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0) * max(queries.shape[1], 1) < EXACT:
+        if len(i) * 50 > len(queries) * len(candidates):  # many of all pairs: one product of matrices is cheaper than gathering rows
+            return (queries @ candidates.T)[i, j].astype(np.int64)
         return np.einsum("nd,nd->n", queries[i], candidates[j]).astype(np.int64)
     whole = lambda m: [[int(v) for v in row] for row in m]
     q, c = whole(queries), whole(candidates)
@@ -86,10 +91,12 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids:
         bound = partial + np.outer(q_rest[alive], rest[s:e]) + slack[alive, None]
         a, c = np.nonzero((bound >= reach[alive, None]) & (ids[s:e][None, :] != query_ids[alive][:, None]))
         scores = products(queries[alive], vectors[s:e], a, c)
-        for n in np.unique(a):
-            mine = a == n
+        better = scores >= reach[alive][a]
+        a, c, scores = a[better], c[better], scores[better]
+        firsts = np.flatnonzero(np.concatenate([[True], np.diff(a) != 0])) if len(a) else a
+        for n, x, y in zip(a[firsts], firsts, [*firsts[1:], len(a)]):
             q = int(alive[n])
-            pool = kept[q] + list(zip((-scores[mine]).tolist(), ids[s:e][c[mine]].tolist()))
+            pool = kept[q] + list(zip((-scores[x:y]).tolist(), ids[s:e][c[x:y]].tolist()))
             kept[q] = sorted(pool)[:k]
             if len(kept[q]) == k:
                 low[q] = -kept[q][-1][0]
@@ -103,7 +110,7 @@ def _block(axes_of: dict[int, np.ndarray], k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
-            matrix = lambda t: np.array(t.column("v").to_pylist(), np.float64)
+            matrix = lambda t: np.concatenate([c.flatten().to_numpy() for c in t.column("v").chunks]).reshape(t.num_rows, -1)
             d = right.column("d")[0].as_py()
             floors = np.array([-np.inf if f is None else f for f in left.column("least").to_pylist()])
             rows = best_of(left.column("query_id").to_numpy(), matrix(left), floors, right.column("vec_id").to_numpy(), matrix(right), axes_of.get(d, np.eye(d)), k)
