@@ -17,7 +17,7 @@ def replayed(spark: SparkSession, folder: str, like: DataFrame, files_a_batch: i
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by type and tumbling window; events later than the watermark go."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
 def item_windows(captures: DataFrame) -> DataFrame:
