@@ -5,13 +5,17 @@
 2. Each text gives its set's size, digest, bitmap and prefix: the shingles of
    which any linked set must hold one. Sets with one digest are one set from here.
 3. Prefix shingles, packed, are dealt out by shingle; those of one set go no
-   further. Each other set is held against one candidate, the smallest digest
-   it meets; that ties up groups of near copies with as many comparisons as they
-   have members.
+   further. Sets of a rare shingle are paired at once. Of a more frequent one,
+   each set is held against one candidate, the smallest digest it meets; that
+   ties up groups of near copies with as many comparisons as they have members.
+   Bitmaps rule out pairs, and what is left is compared exactly.
 4. Shingles that still join different components are looked at in full: their
    sets stand in a signature tree, whose dual traversal rules out node pairs by
    size ranges and by the most overlap that the bitmaps allow. What is left is
-   compared exactly. Shingles of very many sets are dealt out as pairs of blocks.
+   compared exactly: first a forest over the components of a bucket, so that a
+   group that one candidate didn't tie up is tied by as many pairs as it has
+   parts; after a few rounds all that is left between different components.
+   Shingles of very many sets are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -27,13 +31,17 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.common import hashes_of, shingle_hashes, steps, words_of, written
 from webstrata.llm.components import components
-from webstrata.llm.signature_tree import FAN, Tree, candidates, possible
+from webstrata.llm.signature_tree import FAN, Leaves, Tree, candidates, counted, possible
 
 #: Cells of the frequency sketch; bits of a set's bitmap; bits of the filter that picks which sets are worked out again.
 CELLS, BITMAP, FILTER = 1 << 18, 2048, 1 << 25
 #: A shingle that the sketch counts in more documents is dealt out over several buckets; sets in a block of step 4; prefix shingles a bucket of
 #: step 3, and sets a bucket of step 4.
 HOT, BLOCK, BUCKET, TRAVERSED = 50_000, 4096, 1_000_000, 30_000
+#: Sets of a shingle that are paired at once; digests that a dealing task remembers.
+FEW, SEEN = 8, 500_000
+#: Rounds of step 4 in which a bucket compares a forest of pairs; then it compares all that are left.
+FORESTS = 2
 PIECE = 1 << 10
 
 
@@ -116,9 +124,21 @@ def _deal(buckets: int, counts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
-        for batch in steps(batches, "prefix", 2_000_000):
+        seen: set[bytes] = set()
+        for batch in steps(batches, "prefix", 4_000_000):
+            # of copies with one set, the first that this task meets; the others' rows would only repeat it
+            digests, fresh = batch.column("digest").to_pylist(), []
+            if len(seen) > SEEN:
+                seen.clear()
+            for i, d in enumerate(digests):
+                if d not in seen:
+                    seen.add(d)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             prefixes = [np.frombuffer(x, "<u8") for x in batch.column("prefix").to_pylist()]
-            digests = np.array([np.void(x) for x in batch.column("digest").to_pylist()], dtype="V16")
+            if not prefixes:
+                continue
+            own = np.array([np.void(digests[i]) for i in fresh], dtype="V16")
             sizes = batch.column("n_shingles").to_numpy(zero_copy_only=False)
             tokens = np.concatenate(prefixes)
             owner = np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
@@ -126,16 +146,15 @@ def _deal(buckets: int, counts):
             salted = salts > 0
             salt = np.zeros(len(tokens), np.uint64)
             if salted.any():
-                own = np.frombuffer(digests.tobytes(), "<u8").reshape(-1, 2)[:, 0][owner[salted]]
-                salt[salted] = (own ^ tokens[salted]) % (salts[salted] + 1).astype(np.uint64)
+                salt[salted] = (np.frombuffer(own.tobytes(), "<u8").reshape(-1, 2)[:, 0][owner[salted]] ^ tokens[salted]) % (salts[salted] + 1).astype(np.uint64)
             bucket = ((tokens >> np.uint64(20)) + salt * np.uint64(7919)) % np.uint64(buckets)
             by = np.argsort(bucket, kind="stable")
-            tokens, owner, salt, bucket = tokens[by], owner[by], salt[by], bucket[by]
+            tokens, owner, salt, salted, bucket = tokens[by], owner[by], salt[by], salted[by], bucket[by]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             rows = []
-            for t, o, s, k in zip(np.split(tokens, cuts), np.split(owner, cuts), np.split(salt, cuts), bucket[np.concatenate([[0], cuts])] if len(bucket) else []):
+            for t, o, s, hot, k in zip(np.split(tokens, cuts), np.split(owner, cuts), np.split(salt, cuts), np.split(salted, cuts), bucket[np.concatenate([[0], cuts])]):
                 who, at = np.unique(o, return_inverse=True)
-                rows.append((int(k), t.tobytes(), at.astype("<i4").tobytes(), s.astype("<u4").tobytes(), digests[who].tobytes(), sizes[who].astype("<i8").tobytes()))
+                rows.append((int(k), t.tobytes(), at.astype("<u2" if len(who) <= 1 << 16 else "<i4").tobytes(), (s + hot).astype("<u4").tobytes() if hot.any() else b"", own[who].tobytes(), sizes[who].astype("<i4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6))], names=["bucket", "tokens", "owners", "salts", "digests", "sizes"])
 
     return run
@@ -144,32 +163,50 @@ def _deal(buckets: int, counts):
 MET = "token long, digest binary, size long, leader binary, leader_size long"
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Of one bucket, the sets that share a shingle, each with the smallest digest that has it."""
-    tokens, who, salts, digests, sizes, base = [], [], [], [], [], 0
-    for t, o, s, d, n in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "salts", "digests", "sizes"))):
-        tokens.append(np.frombuffer(t, "<u8"))
-        who.append(np.frombuffer(o, "<i4").astype(np.int64) + base)
-        salts.append(np.frombuffer(s, "<u4"))
-        digests.append(np.frombuffer(d, "V16"))
-        sizes.append(np.frombuffer(n, "<i8"))
-        base += len(sizes[-1])
-    tokens, who, salts, digests, sizes = map(np.concatenate, (tokens, who, salts, digests, sizes))
-    high_low = np.frombuffer(digests.tobytes(), ">u8").reshape(-1, 2)
-    rank = np.empty(len(digests), np.int64)
-    rank[np.lexsort((high_low[:, 1], high_low[:, 0]))] = np.arange(len(digests))
-    by = np.lexsort((rank[who], salts, tokens))
-    tokens, who, salts = tokens[by], who[by], salts[by]
-    fresh = np.concatenate([[True], (np.diff(tokens) != 0) | (np.diff(salts.astype(np.int64)) != 0)]) if len(tokens) else np.zeros(0, bool)
-    first = np.flatnonzero(fresh)
-    runs = np.diff(np.concatenate([first, [len(tokens)]]))
-    leader = np.repeat(who[first], runs)
-    shared = np.repeat(runs, runs) > 1
-    # a salted shingle's sets may be met in another bucket
-    shared |= salts > 0
-    tokens, who, leader = tokens[shared], who[shared], leader[shared]
-    take = lambda x: pa.array([bytes(v) for v in digests[x]], pa.binary())
-    return pa.table([pa.array(tokens.view(np.int64)), take(who), pa.array(sizes[who]), take(leader), pa.array(sizes[leader])], names=["token", "digest", "size", "leader", "leader_size"])
+def _meet(percent: int):
+    """Of one bucket, the sets that share a shingle.
+
+    Shingles of few sets give candidate pairs at once, with token null. Those of more give a row for each set,
+    with the smallest digest of the run as its leader.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        tokens, who, salts, digests, sizes, base = [], [], [], [], [], 0
+        for t, o, s, d, n in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "salts", "digests", "sizes"))):
+            tokens.append(np.frombuffer(t, "<u8"))
+            who.append(np.frombuffer(o, "<u2" if len(o) * 4 == len(t) else "<i4").astype(np.int64) + base)
+            salts.append(np.frombuffer(s, "<u4") if s else np.zeros(len(tokens[-1]), np.uint32))
+            digests.append(np.frombuffer(d, "V16"))
+            sizes.append(np.frombuffer(n, "<i4"))
+            base += len(sizes[-1])
+        tokens, who, salts, digests, sizes = map(np.concatenate, (tokens, who, salts, digests, sizes))
+        # a set that several tasks sent is one; codes are in the order of digests
+        halves = np.frombuffer(digests.tobytes(), ">u8").reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        new = np.concatenate([[True], (np.diff(halves[order], axis=0) != 0).any(axis=1)])
+        code = np.empty(len(order), np.int64)
+        code[order] = np.cumsum(new) - 1
+        digests, sizes, who = digests[order][new], sizes[order][new].astype(np.int64), code[who]
+        by = np.lexsort((who, salts, tokens))
+        tokens, who, salts = tokens[by], who[by], salts[by].astype(np.int64)
+        fresh = np.concatenate([[True], (np.diff(tokens) != 0) | (np.diff(salts) != 0) | (np.diff(who) != 0)])
+        tokens, who, salts = tokens[fresh], who[fresh], salts[fresh]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(tokens) != 0) | (np.diff(salts) != 0)]))
+        runs = np.diff(np.concatenate([first, [len(tokens)]]))
+        few = (runs > 1) & (runs <= FEW) & (salts[first] == 0)
+        x, y = _all_pairs(first[few], runs[few])
+        x, y = np.divmod(np.unique(who[x] * len(digests) + who[y]), len(digests))
+        ok = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+        x, y = x[ok], y[ok]
+        # a hot shingle's sets may be met in another bucket, so even a lone one stays
+        more = np.repeat((runs > FEW) | (salts[first] > 0), runs)
+        leader = np.repeat(who[first], runs)[more]
+        tokens, who = tokens[more], who[more]
+        take = lambda a, b: pa.array([bytes(v) for v in digests[np.concatenate([a, b])]], pa.binary())
+        size = lambda a, b: pa.array(sizes[np.concatenate([a, b])])
+        return pa.table([pa.array([*[None] * len(x), *tokens.view(np.int64).tolist()], pa.int64()), take(y, who), size(y, who), take(x, leader), size(x, leader)], names=["token", "digest", "size", "leader", "leader_size"])
+
+    return run
 
 
 def _all_pairs(firsts: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,10 +219,16 @@ def _all_pairs(firsts: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.nda
     return i[ok] + a[ok], i[ok] + b[ok]
 
 
-def _traverse(percent: int):
-    """Of the shingles of one bucket, pairs of sets of different components that their signature trees don't rule out."""
+def _traverse(percent: int, whole_rest: bool):
+    """Of the shingles of one bucket, pairs of sets of different components that their signature trees don't rule out.
 
-    def run(table: pa.Table) -> pa.Table:
+    Of those that weren't compared before, a forest over the components, likeliest pairs first: as many pairs as
+    components at most. With whole_rest, all.
+    """
+
+    def run(table: pa.Table, compared: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return EMPTY
         sizes = table.column("size").to_numpy()
         digests = np.array([np.void(x) for x in table.column("digest").to_pylist()], dtype="V16")
         groups = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -223,12 +266,44 @@ def _traverse(percent: int):
         at = np.empty(len(sizes), np.int64)
         at[leaf.order] = np.arange(len(sizes))
         keep = np.concatenate([possible(leaf, at[x[s : s + 100_000]], 0, leaf, at[y[s : s + 100_000]], 0, percent) for s in range(0, len(x), 100_000)] or [np.zeros(0, bool)])
-        pairs = [sorted((bytes(digests[a]), bytes(digests[b]))) for a, b in zip(x[keep], y[keep])]
-        return pa.table([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
+        x, y = x[keep], y[keep]
+        if compared.num_rows and len(x):
+            names = {bytes(d): i for i, d in enumerate(distinct)}
+            old = {(names[a], names[b]) for a, b in zip(compared.column("a").to_pylist(), compared.column("b").to_pylist()) if a in names and b in names}
+            fresh = np.array([(p, q) not in old and (q, p) not in old for p, q in zip(codes[x].tolist(), codes[y].tolist())], bool)
+            x, y = x[fresh], y[fresh]
+        if not whole_rest and len(x):
+            shared = np.concatenate([counted(bits[x[s : s + 100_000]] & bits[y[s : s + 100_000]]) / np.maximum(counted(bits[x[s : s + 100_000]] | bits[y[s : s + 100_000]]), 1) for s in range(0, len(x), 100_000)])
+            x, y = _forest(x, y, groups, shared)
+        pairs = [sorted((bytes(digests[a]), bytes(digests[b]))) for a, b in zip(x, y)]
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table([pa.array([bucket] * len(pairs), pa.int64()), pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["bucket", "a", "b"])
 
     return run
 
 
+EMPTY = pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["bucket", "a", "b"])
+
+
+def _forest(x: np.ndarray, y: np.ndarray, groups: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a heaviest spanning forest over groups."""
+    parent = np.arange(groups.max() + 1)
+
+    def root(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    kept = []
+    for i in np.argsort(-weight, kind="stable"):
+        a, b = root(groups[x[i]]), root(groups[y[i]])
+        if a != b:
+            parent[a] = b
+            kept.append(i)
+    return x[kept], y[kept]
+
+
 def _sets_again(words: int, wanted):
     """The whole sets of documents whose id is in the filter."""
 
@@ -244,6 +319,28 @@ def _sets_again(words: int, wanted):
     return run
 
 
+def _bounded(percent: int):
+    """Leaf against leaf: pairs of sets that sizes and bitmaps don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            leaves = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(n, -1)
+            a, b = (Leaves(batch.column(c).to_numpy(zero_copy_only=False), leaves(x)) for c, x in (("size_a", "bits_a"), ("size_b", "bits_b")))
+            at = np.arange(n)
+            yield batch.select(["a", "b"]).filter(pa.array(possible(a, at, 0, b, at, 0, percent)))
+
+    return run
+
+
+def possible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) whose bitmaps allow enough overlap."""
+    side = lambda x: nodes.select(F.col("digest").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a binary, b binary"), "candidates")
+
+
 def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of candidate pairs of digests (a, b), those whose whole sets link. A bitmap of fixed size picks the documents to work out again."""
     spark = docs.sparkSession
@@ -277,39 +374,49 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(sketch(docs, words))
     described = written(docs.mapInArrow(_describe(words, percent, counts), "doc_id long, n_shingles long, digest binary, bits binary, prefix binary"), "described")
-    nodes = written(described.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "nodes")
+    present = described.where("digest is not null")
+    nodes = written(present.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size")), "nodes")
 
-    total = nodes.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    total = present.agg(F.sum(F.length("prefix"))).first()[0] or 0
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parallel, total // 8 // BUCKET + 1)
-    dealt = nodes.select("digest", "n_shingles", "prefix").mapInArrow(_deal(buckets, counts), "bucket long, tokens binary, owners binary, salts binary, digests binary, sizes binary")
-    met = written(dealt.groupBy("bucket").applyInArrow(_meet, MET), "met")
+    dealt = present.select("digest", "n_shingles", "prefix").mapInArrow(_deal(buckets, counts), "bucket long, tokens binary, owners binary, salts binary, digests binary, sizes binary")
+    met = written(dealt.groupBy("bucket").applyInArrow(_meet(percent), MET), "met")
 
-    # one candidate a set: the smallest digest it meets that its size allows
+    # pairs of rare shingles, and of others one candidate a set: the smallest digest it meets that its size allows
     fits = F.expr(f"100L * least(size, leader_size) >= {percent}L * greatest(size, leader_size)")
-    first = written(met.where("leader <> digest").where(fits).groupBy(F.col("digest").alias("a")).agg(F.min("leader").alias("b")), "first")
+    pairs = met.where("token is null").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct()
+    stars = met.where("token is not null and leader <> digest").where(fits).groupBy(F.col("digest").alias("a")).agg(F.min("leader").alias("b"))
+    first = possible_pairs(pairs.unionByName(stars), nodes, percent)
     links = linked(docs, nodes, first, words, percent)
     roots = written(components(links), "roots")
 
-    # shingles that still join different components, in full
-    labelled = met.select("token", "digest", "size").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    labelled = written(labelled, "labelled")
-    open_ = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high").select("token", "sets")
-    open_ = written(open_, "open")
-    rows = labelled.join(open_, "token").join(nodes.select("digest", "bits"), "digest")
-    rows = rows.withColumn("parts", F.ceil(F.col("sets") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("part"), F.greatest("own", "other").alias("part2"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "digest", "size", "root", "bits")
-    # many shingles with few sets share a bucket; a block pair of a shingle with many is at most 2 * BLOCK of its rows
-    sets = open_.agg(F.sum("sets")).first()[0] or 0
-    tasks = max(parallel, sets // TRAVERSED + 1)
-    pairs = rows.withColumn("bucket", F.pmod(F.xxhash64("token", "part", "part2"), F.lit(tasks))).groupBy("bucket").applyInArrow(_traverse(percent), "a binary, b binary")
-    pairs = written(pairs.distinct(), "pairs")
-    more = linked(docs, nodes, pairs, words, percent)
-    roots = written(components(links.unionByName(more)), "roots")
+    # shingles of more sets that still join different components, in full
+    shared = met.where("token is not null").select("token", "digest", "size")
+    compared = spark.createDataFrame([], "bucket long, a binary, b binary")
+    tasks = None
+    for round_ in range(FORESTS + 1):
+        labelled = written(shared.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "labelled")
+        open_ = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high").select("token", "sets")
+        open_ = written(open_, "open")
+        if tasks is None:
+            # many shingles with few sets share a bucket; a block pair of a shingle with many is at most 2 * BLOCK of its rows
+            tasks = max(parallel, (open_.agg(F.sum("sets")).first()[0] or 0) // TRAVERSED + 1)
+        rows = labelled.join(open_, "token").join(nodes.select("digest", "bits"), "digest")
+        rows = rows.withColumn("parts", F.ceil(F.col("sets") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.select("token", F.least("own", "other").alias("part"), F.greatest("own", "other").alias("part2"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "digest", "size", "root", "bits")
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("token", "part", "part2"), F.lit(tasks)))
+        pairs = written(rows.groupBy("bucket").cogroup(compared.groupBy("bucket")).applyInArrow(_traverse(percent, round_ == FORESTS), "bucket long, a binary, b binary"), "pairs")
+        if pairs.isEmpty():
+            break
+        more = linked(docs, nodes, pairs.select("a", "b").distinct(), words, percent)
+        links = links.unionByName(more)
+        roots = written(components(links), "roots")
+        # what was compared without a link isn't compared again
+        compared = compared.unionByName(pairs.join(more, ["a", "b"], "left_anti"))
 
     placed = described.select("doc_id", "n_shingles", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     placed = written(placed.withColumn("root", F.coalesce("root", "digest")).drop("digest"), "placed")
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    least = written(least, "least_ids")
+    least = written(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least_ids")
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -82,7 +82,7 @@ def _bloom_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     """The twice-seen filter over all documents: fixed size, so it may come to the driver."""
     partial = docs.select("text").mapInArrow(_bloom_partials(bits, min_chars), "piece int, once binary, twice binary")
-    n = min(bits // 8 // PIECE, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = min(max(1, bits // 8 // PIECE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     merged = partial.repartition(n, "piece").mapInArrow(_bloom_merge, "piece int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():

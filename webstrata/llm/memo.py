@@ -24,7 +24,7 @@ class Memo:
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.place) > self.most:
             self.forget()
-        new = [w for w in words if w not in self.place]
+        new = list(dict.fromkeys(w for w in words if w not in self.place))
         if new:
             sizes, ids = self.encode(new)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))

@@ -29,6 +29,16 @@ class Tree:
         return len(self.low) - 1
 
 
+class Leaves(Tree):
+    """Sets by themselves, in the order given, all of different groups."""
+
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
+        none = np.arange(len(sizes), dtype=np.int64)
+        self.order = none
+        self.low, self.high, self.any, self.all = [sizes], [sizes], [bits], [bits]
+        self.first_group, self.last_group = [none], [none + 1]
+
+
 def counted(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
