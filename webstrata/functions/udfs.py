@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from webstrata.functions import decode, html_scan, readability, robots, srcset, urlspec
+from webstrata.sources import sitemap
 
 ATTRIBUTED = "struct<value:string,source:string>"
 METADATA = (
@@ -100,9 +101,20 @@ def markdown_destinations_udf(text: pd.Series) -> pd.Series:
     return each(lambda t: [dict(zip(("kind", "start", "end", "destination"), d)) for d in readability.destinations(t)], text)
 
 
+@pandas_udf(T.ArrayType(T.StringType()))
+def sitemap_locations_udf(xml: pd.Series) -> pd.Series:
+    def found(text):
+        try:
+            return sitemap.locations(text.encode() if isinstance(text, str) else bytes(text))[0]
+        except sitemap.SitemapError:
+            return None
+
+    return each(found, xml)
+
+
 REGISTERED = {
     "canonical_url": canonical_url_udf, "host_dir": host_dir_udf, "is_internal": is_internal_udf, "percent_decode": percent_decode_udf, "srcset_widest": srcset_widest_udf, "srcset_candidates": srcset_candidates_udf,
-    "robots_allows": robots_allows_udf, "decode_html": decode_html_udf, "peak_open_elements": peak_open_elements_udf, "markdown_destinations": markdown_destinations_udf,
+    "robots_allows": robots_allows_udf, "decode_html": decode_html_udf, "sitemap_locations": sitemap_locations_udf, "peak_open_elements": peak_open_elements_udf, "markdown_destinations": markdown_destinations_udf,
 }
 
 

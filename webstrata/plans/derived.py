@@ -166,15 +166,6 @@ def hop_depths(spark, sf_dir):
     return crawl.hop_depths(edges, seeds, 2)
 
 
-@query("SELECT 'run' AS run_id, user_id % 7 AS capture, count(*) FILTER (WHERE value >= 10) AS stored_or_missed FROM events WHERE false GROUP BY ALL")
-def asset_budget_empty(spark, sf_dir):
-    """The fold over no references gives no rows."""
-    refs = values(spark, "('run', 'c', 1, 'u', 'image')", "run_id, capture_id, place, url, kind").where("false")
-    answers = values(spark, "('u', 'u', 200, 10L, false, cast(null as string))", "url, final_url, status, byte_len, truncated, failure")
-    out = assets.budgeted(refs, answers)
-    return out.groupBy("run_id", F.col("place").cast("long").alias("capture")).agg(F.count("*").alias("stored_or_missed"))
-
-
 @query()
 def asset_budget_fold(spark, sf_dir):
     """Budgets over references made from the stream of events, a run a user."""
@@ -222,3 +213,71 @@ def page_events_filed(spark, sf_dir):
 def windowed_events(spark, sf_dir):
     """The batch form of the stream's windows."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+FOUND = "(1, true, true, true, 10L), (2, true, false, true, 10L), (3, false, true, true, 10L), (4, true, true, false, 10L), (5, true, true, true, 70000L), (6, false, false, NULL, NULL)"
+
+
+@query("SELECT * FROM (VALUES (1, 'ok'), (2, 'misfiled'), (3, 'malformed'), (4, 'refused'), (5, 'refused'), (6, 'no_record')) t(id, status)")
+def item_walk_status(spark, sf_dir):
+    rows = values(spark, FOUND, "id, parsed, path_ok, is_file, size")
+    record = F.when(F.col("parsed"), F.lit("{}"))
+    return rows.select("id", archive.item_status(record, F.col("path_ok"), F.col("is_file"), F.col("size")).alias("status"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'no_response'), ('c', 'too_large'), ('d', 'deadline_reached')) t(url, reason)")
+def misses_after_recovery(spark, sf_dir):
+    """Known misses a, b, c; a later pass finds b stored, c too large and d late."""
+    miss = lambda *ms: F.array(*(F.struct(F.lit(u).alias("url"), F.lit(r).alias("reason")) for u, r in ms))
+    asset = F.array(F.struct(F.lit("x").alias("requested_url"), F.lit("b").alias("final_url")))
+    merged = archive.merged_misses(miss(("a", "no_response"), ("b", "deadline_reached"), ("c", "deadline_reached")), miss(("c", "too_large"), ("d", "deadline_reached")))
+    return spark.range(1).select(F.inline(archive.still_missed(merged, asset)))
+
+
+@query("SELECT * FROM (VALUES ('c1', 'u1', 'script'), ('c1', 'u2', 'image')) t(capture_id, url, kind)")
+def recoverable_misses(spark, sf_dir):
+    misses = values(spark, "('c1', 'u1', 'deadline_reached', NULL), ('c1', 'u2', 'too_large', 100L), ('c1', 'u3', 'no_response', NULL)", "capture_id, url, reason, byte_len")
+    kinds = values(spark, "('c1', 'u1', 'image', 1), ('c1', 'u1', 'script', 2)", "capture_id, url, kind, place")
+    return assets.recoverable(misses, kinds).select("capture_id", "url", "kind")
+
+
+NOTE = "See [one](https://a.example/1 \"t\") and ![two](b.png), `[not](c)`, [![three](d.png)](e)."
+
+
+@query("SELECT * FROM (VALUES ('link', 'https://a.example/1'), ('image', 'b.png'), ('image', 'd.png'), ('link', 'e')) t(kind, destination)")
+def markdown_destinations(spark, sf_dir):
+    return spark.range(1).select(F.inline(udfs.markdown_destinations_udf(F.lit(NOTE)))).select("kind", "destination")
+
+
+@query("SELECT * FROM (VALUES (1, 'a b+'), (2, 'é'), (3, NULL), (4, NULL)) t(id, decoded)")
+def percent_decoded(spark, sf_dir):
+    return values(spark, "(1, 'a%20b+'), (2, '%C3%A9'), (3, '%zz'), (4, '%ff')", "id, text").select("id", udfs.percent_decode_udf("text").alias("decoded"))
+
+
+@query("SELECT * FROM (VALUES (1, 'café'), (2, 'café'), (3, 'caf' || chr(65533))) t(id, text)")
+def decoded_bodies(spark, sf_dir):
+    rows = values(spark, "(1, X'636166E9', 'latin1'), (2, X'636166C3A9', NULL), (3, X'636166E9', NULL)", "id, body, charset")
+    return rows.select("id", udfs.decode_html_udf("body", "charset").alias("text"))
+
+
+@query("SELECT * FROM (VALUES (1, 'https://e.example/a'), (1, 'https://e.example/b'), (2, 'https://e.example/c')) t(id, url)")
+def sitemap_locations(spark, sf_dir):
+    """The second document ends early and keeps what it closed."""
+    rows = values(spark, "(1, '<urlset><url><loc> https://e.example/a </loc></url><url><x:loc xmlns:x=\"y\">https://e.example/b</x:loc></url></urlset>'), (2, '<urlset><url><loc>https://e.example/c</loc></url><url><loc>https')", "id, xml")
+    return rows.select("id", F.explode(udfs.sitemap_locations_udf("xml")).alias("url"))
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, true)) t(id, allowed)")
+def robots_groups(spark, sf_dir):
+    """A named group stands instead of the one for all, even without rules."""
+    text = "User-agent: a\\nUser-agent: b\\nDisallow: /x\\n\\nUser-agent: *\\nDisallow: /\\nUser-agent: c\\n"
+    rows = values(spark, f"(1, '{text}', 'a/1.0', 'https://e.example/y'), (2, '{text}', 'B', 'https://e.example/x'), (3, '{text}', 'c', 'https://e.example/x'), (4, '', 'd', 'https://e.example/')", "id, text, agent, url")
+    return rows.select("id", udfs.robots_allows_udf("text", "agent", "url").alias("allowed"))
+
+
+@query(over(CAPTURES, "SELECT host_dir, canonical_url FROM cap WHERE host_dir IN (SELECT host_dir FROM cap GROUP BY 1 HAVING count(*) > 4)"))
+def captures_of_ruled_hosts(spark, sf_dir):
+    """Host rules are a small table joined on the directory."""
+    rows = captures(spark, sf_dir)
+    ruled = rows.groupBy("host_dir").agg(F.count("*").alias("n")).where("n > 4").select("host_dir")
+    return rows.join(ruled, "host_dir").select("host_dir", "canonical_url")
