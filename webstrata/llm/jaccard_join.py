@@ -394,8 +394,9 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     # shingles of more sets that still join different components, in full
     shared = met.where("token is not null").select("token", "digest", "size")
     compared = spark.createDataFrame([], "bucket long, a binary, b binary")
-    tasks = None
+    tasks, rest = None, False
     for round_ in range(FORESTS + 1):
+        rest = rest or round_ == FORESTS
         labelled = written(shared.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "labelled")
         open_ = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high").select("token", "sets")
         open_ = written(open_, "open")
@@ -407,12 +408,16 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         rows = rows.select("token", F.least("own", "other").alias("part"), F.greatest("own", "other").alias("part2"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "digest", "size", "root", "bits")
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("token", "part", "part2"), F.lit(tasks)))
-        pairs = written(rows.groupBy("bucket").cogroup(compared.groupBy("bucket")).applyInArrow(_traverse(percent, round_ == FORESTS), "bucket long, a binary, b binary"), "pairs")
+        pairs = written(rows.groupBy("bucket").cogroup(compared.groupBy("bucket")).applyInArrow(_traverse(percent, rest), "bucket long, a binary, b binary"), "pairs")
         if pairs.isEmpty():
             break
         more = linked(docs, nodes, pairs.select("a", "b").distinct(), words, percent)
-        links = links.unionByName(more)
-        roots = written(components(links), "roots")
+        found = not more.isEmpty()
+        if found:
+            roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
+        if rest:
+            break
+        rest = not found  # a forest without a link: what is left is compared at once
         # what was compared without a link isn't compared again
         compared = compared.unionByName(pairs.join(more, ["a", "b"], "left_anti"))
 
