@@ -178,3 +178,10 @@ def test_url_filter_mines_and_matches(spark):
     mined = [url_filter.Mined(("a", "b"), 1.0, 0.5), url_filter.Mined(("c",), 0.9, 0.5)]
     assert [r[0] for r in tokens.select(url_filter.matched(url_filter.F.col("t"), mined)).collect()] == [0, None, None]
     assert url_filter.url_filter(pages.limit(0)).count() == 0
+
+
+def test_url_filter_mines_from_labelled_urls_only(spark):
+    rows = [(i, f"https://a{i}.com/en/casino") for i in range(40)] + [(100 + i, f"https://b{i}.net/de/news") for i in range(40)] + [(200 + i, f"https://c{i}.info/xx/casino") for i in range(200)] + [(500, "https://d.info/xx/news")]
+    got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {(got[i].rule, got[i].verdict, got[i].mined) for i in range(200, 400)} == {(None, "block", "path1=casino")}
+    assert got[100].verdict == "allow" and (got[500].rule, got[500].verdict) == (None, "allow")

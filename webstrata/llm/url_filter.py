@@ -46,7 +46,7 @@ class Mined:
     support: float
 
 
-#: Least share of all URLs that a mined rule covers, least share of those that are blocked, least gain over the share at large;
+#: Least share of the labelled URLs that a mined rule covers, least share of those that are blocked, least gain over the labelled URLs' own share;
 #: most tokens of a rule, and most rules kept (the best by confidence, then support), so that the index has a bound.
 SUPPORT, CONFIDENCE, LIFT, TOKENS, MOST = 0.002, 0.9, 1.2, 3, 500
 BLOCKED = "class=block"
@@ -104,10 +104,10 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, tokens: int = TOKENS, most: int = MOST) -> list[Mined]:
-    """Rules `tokens -> blocked` from `tokens` (array) and `blocked` (boolean) of every URL."""
+    """Rules `tokens -> blocked` from `tokens` (array) and `blocked` (boolean) of labelled URLs; rows whose `blocked` is null have no label and don't count."""
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
+    rows = labelled.where("blocked is not null").select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
     if rows.isEmpty():
         return []
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
@@ -142,14 +142,14 @@ def url_filter(pages: DataFrame, *, rules: Sequence[Rule] = RULES, mined: Sequen
     Takes `page_id` and `url`, ignores other columns. Returns page_id, host, path, rule (the text of the longest rule that fits,
     else null), verdict (its, else block if a mined rule matches, else allow) and mined (that mined rule's tokens, else null).
     Defined for odd inputs: a null url, or one without "://", has an empty host and path and is allowed unless a mined rule
-    matches; repeated rows are judged one by one; page_id may be null. Without any blocked URL nothing is mined. An empty table gives an empty one.
+    matches; repeated rows are judged one by one; page_id may be null. Only URLs that a rule fits are mined; where none or all of them are blocked, nothing is. An empty table gives an empty one.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "url")
     host, path = F.col("host"), F.col("path")
     rows = rows.select("page_id", "host", "path", first_fit(rules, host, path, lambda r: r.text).alias("rule"), first_fit(rules, host, path, lambda r: r.verdict).alias("given"), F.coalesce(tokens_of(F.col("url"), host, path), F.array().cast("array<string>")).alias("tokens"))
     if mined is None:
-        mined = mine(rows.select("tokens", F.coalesce(F.col("given") == "block", F.lit(False)).alias("blocked")))
+        mined = mine(rows.select("tokens", (F.col("given") == "block").alias("blocked")))
     number = matched(F.col("tokens"), mined)
     names = F.lit([" ".join(m.tokens) for m in mined]) if mined else None
     rows = rows.withColumn("number", number)
