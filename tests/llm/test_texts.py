@@ -185,3 +185,14 @@ def test_url_filter_mines_from_labelled_urls_only(spark):
     got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert {(got[i].rule, got[i].verdict, got[i].mined) for i in range(200, 400)} == {(None, "block", "path1=casino")}
     assert got[100].verdict == "allow" and (got[500].rule, got[500].verdict) == (None, "allow")
+
+
+def test_url_filter_reads_whole_urls_and_keeps_every_rule(spark):
+    long = "k" * 45
+    cases = [("/a/b/c/casino", "/a/b/c/news"), ("/a?1=&2=&3=&4=&bad=1", "/a?1=&2=&3=&4=&good=1"), (f"/{long}x", f"/{long}y"), (f"/a?{long}x", f"/a?{long}y")]
+    for bad, good in cases:
+        rows = [(i, f"https://a{i}.com/en{bad}") for i in range(20)] + [(100 + i, f"https://b{i}.net/de{good}") for i in range(20)] + [(200, f"https://c.info/zz{bad}"), (201, f"https://c.info/zz{good}")]
+        got = {r.page_id: r.verdict for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+        assert (got[200], got[201]) == ("block", "allow")
+    labelled = spark.createDataFrame([([f"t{i % 600}"], True) for i in range(1200)] + [(["u"], False)] * 1200, "tokens array<string>, blocked boolean")
+    assert len(url_filter.mine(labelled, support=0.0005)) == 600

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,10 @@ class Mined:
 
 
 #: Least share of the labelled URLs that a mined rule covers, least share of those that are blocked, least gain over the labelled URLs' own share;
-#: most tokens of a rule, and most rules kept (the best by confidence, then support), so that the index has a bound.
-SUPPORT, CONFIDENCE, LIFT, TOKENS, MOST = 0.002, 0.9, 1.2, 3, 500
+#: most tokens of a rule. Support bounds the number of rules, and so the index.
+SUPPORT, CONFIDENCE, LIFT, TOKENS = 0.002, 0.9, 1.2, 3
+#: Longest word of a path segment or query key that is a token as it is; a longer one is named by its hash.
+LONGEST = 40
 BLOCKED = "class=block"
 
 
@@ -90,20 +93,21 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(3))), lambda k: F.concat(F.lit("host="), F.array_join(F.slice(labels, n - k + 1, k), ".")))
-    segments = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, 3)
-    word = lambda s: F.regexp_replace(F.substring(s, 1, 40), r"[0-9]+", "#")
+    segments = F.filter(F.split(path, "/"), lambda x: x != "")
+    named = lambda s: F.when(F.length(s) <= LONGEST, s).otherwise(F.concat(F.lit("sha256:"), F.sha2(s, 256)))
+    word = lambda s: named(F.regexp_replace(s, r"[0-9]+", "#"))
     query = F.split(F.regexp_extract(tail_of(url), r"\?([^#]*)", 1), "&")
     return F.array_distinct(
         F.concat(
             F.when(n > 0, suffixes).otherwise(F.array().cast("array<string>")),
             F.transform(F.slice(labels, 1, 1), lambda x: F.concat(F.lit("first="), x)),
             F.transform(segments, lambda s, i: F.concat(F.lit("path"), i.cast("string"), F.lit("="), word(s))),
-            F.transform(F.filter(F.transform(F.slice(query, 1, 4), lambda p: F.substring_index(p, "=", 1)), lambda k: k != ""), lambda k: F.concat(F.lit("key="), F.substring(k, 1, 40))),
+            F.transform(F.filter(F.transform(query, lambda p: F.substring_index(p, "=", 1)), lambda k: k != ""), lambda k: F.concat(F.lit("key="), named(k))),
         )
     )
 
 
-def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, tokens: int = TOKENS, most: int = MOST) -> list[Mined]:
+def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, tokens: int = TOKENS) -> list[Mined]:
     """Rules `tokens -> blocked` from `tokens` (array) and `blocked` (boolean) of labelled URLs; rows whose `blocked` is null have no label and don't count."""
     from pyspark.ml.fpm import FPGrowth
 
@@ -112,14 +116,15 @@ def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = C
         return []
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
     found = model.associationRules.where(F.col("consequent")[0] == BLOCKED).where((F.size("antecedent") <= tokens) & (F.col("lift") >= lift))
-    # the frequent item sets have a bound, 1 / support times the sets of a URL's tokens; the best are kept
-    best = found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), "antecedent").limit(4 * most)
-    kept: list[Mined] = []
-    for row in best.collect():
-        own = set(row.antecedent)
-        if not any(set(m.tokens) <= own and m.confidence >= row.confidence - 0.02 for m in kept):
-            kept.append(Mined(tuple(row.antecedent), row.confidence, row.support))
-    return sorted(kept, key=lambda m: (-m.confidence, -m.support, m.tokens))[:most]
+    # support bounds the frequent sets: they are at most 1 / support times the sets of a URL's tokens
+    rows = found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").collect()
+    kept: dict[tuple[str, ...], Mined] = {}
+    for row in sorted(rows, key=lambda r: (len(r.antecedent), -r.confidence, -r.support, r.antecedent)):
+        own = tuple(row.antecedent)
+        shorter = (kept.get(part) for n in range(1, len(own)) for part in combinations(own, n))
+        if not any(m is not None and m.confidence >= row.confidence - 0.02 for m in shorter):
+            kept[own] = Mined(own, row.confidence, row.support)
+    return sorted(kept.values(), key=lambda m: (-m.confidence, -m.support, m.tokens))
 
 
 def matched(tokens: Column, rules: Sequence[Mined]) -> Column:
