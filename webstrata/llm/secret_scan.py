@@ -1,4 +1,4 @@
-"""Secret scans: three fixed patterns, and automata inferred from labelled credentials that score every other candidate.
+"""Secret scans: three fixed patterns, and automata inferred from labelled credentials that score every other candidate and its parts.
 
 One pass over whole texts, no shuffle. The automata are fitted on the driver from
 a bounded set of labelled examples and sent to the executors.
@@ -10,6 +10,7 @@ import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate, islice, pairwise, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ WORDS = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.I | re.A)
 #: Runs that may be a credential of an unlisted format: long enough, and with a digit.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 DIGIT = re.compile(r"[0-9]")
+#: Where a run may be a name and a value, an address, or words; most characters of several segments that are read as one (a longer one by its stretches).
+VALUE, SEGMENT, WORD, BREADTH = re.compile(r"="), re.compile(r"[=/]"), re.compile(r"[=/.+_-]"), 256
 #: Examples of each credential format that the automata are fitted on; as many again set the threshold.
 EXAMPLES = 300
 
@@ -49,20 +52,74 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def trimmed(text: str, start: int, end: int, marks: str = ".=-") -> tuple[int, int]:
+    """The bounds without marks at the ends."""
+    while start < end and text[start] in marks:
+        start += 1
+    while start < end and text[end - 1] in marks:
+        end -= 1
+    return start, end
+
+
+def pieces(text: str, base: Sequence[Span]) -> Iterator[tuple[int, int]]:
+    """What of each candidate run lies beside the base spans."""
+    sorted_base, k = sorted((a, b) for a, b, _ in base), 0
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        while k < len(sorted_base) and sorted_base[k][0] < end:
+            a, b = sorted_base[k]
+            if b > at:
+                if at < a:
+                    yield at, a
+                at = b
+            k += 1
+        if at < end:
+            yield at, end
+
+
+def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A run's values between "=", segments between "/" and words between all marks, and stretches of segments that may be base64; the longest first."""
+    found = set()
+    for marks in VALUE, SEGMENT, WORD:
+        cuts = [start - 1, *(m.start() for m in marks.finditer(text, start, end)), end]
+        found |= {trimmed(text, a + 1, b, ".=-/") for a, b in pairwise(cuts)}
+        if marks is SEGMENT:
+            # upper and lower case are as common as in base64, unlike in paths of words and numbers
+            run = text[start:end]
+            upper, lower, dots = ([0, *accumulate(map(f, run))] for f in (str.isupper, str.islower, ".".__eq__))
+            for k, a in enumerate(cuts):
+                x = a + 1 - start
+                for b in takewhile(lambda b: b - a <= BREADTH, islice(cuts, k + 2, None)):
+                    y = b - start
+                    if y - x >= 20 and min(upper[y] - upper[x], lower[y] - lower[x]) * 5 >= y - x and dots[y] == dots[x]:
+                        found.add((a + 1, b))
+    return sorted(found, key=lambda p: (p[0] - p[1], p[0]))
+
+
 def learned_spans(text: str, base: Sequence[Span], scorer: Scorer) -> list[tuple[Span, float]]:
-    """Other candidates that the automata score as credentials; those that touch a base span aren't repeated."""
+    """Other candidates that the automata score as credentials, beside the base spans: a whole run, or else the longest of its parts."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        value = m.group().strip(".=-") if m.group()[-1] in ".=-" or m.group()[0] in ".=-" else m.group()
-        if not DIGIT.search(value) or len(value) < 20:
-            continue
-        start = m.start() + m.group().index(value)
-        if any(a < start + len(value) and start < b for a, b, _ in base):
-            continue
-        score, _ = scorer.score(value)
+
+    def taken(start: int, end: int) -> bool:
+        if end - start < 20 or not DIGIT.search(text, start, end):
+            return False
+        score, _ = scorer.score(text[start:end])
         if score >= scorer.least:
-            out.append(((start, start + len(value), "learned"), score))
-    return out
+            out.append(((start, end, "learned"), score))
+        return score >= scorer.least
+
+    for run in pieces(text, base):
+        whole = trimmed(text, *run)
+        if whole[1] - whole[0] < 20 or not DIGIT.search(text, *whole) or taken(*whole):
+            continue
+        found = bytearray(run[1] - run[0])  # the longest come first, so what overlaps a found part has an end in it
+        for a, b in parts(text, *run):
+            if b - a < 20:
+                break
+            x, y = a - run[0], b - run[0]
+            if (a, b) != whole and not found[x] and not found[y - 1] and taken(a, b):
+                found[x:y] = b"\x01" * (b - a)
+    return sorted(out)
 
 
 def joined(spans: Sequence[Span]) -> str:
