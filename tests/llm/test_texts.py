@@ -208,3 +208,12 @@ def test_secret_scan_names_and_addresses():
     text = "0123456789abcdef" * 2 + "/" + token
     assert [text[a:b] for (a, b, _), _ in secret_scan.learned_spans(text, secret_scan.base_spans(text), scorer)] == ["/" + token]
     assert not secret_scan.learned_spans("www.example.com/some/path/of12/words345/page.html", [], scorer)
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
+    rows = [(1, gpl), (2, bsd), (3, mit), (4, "The following conditions of the licence were discussed at the meeting.")]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(odd(rows), SCHEMA), model=license_scan.fit(spark, 90)).collect()}
+    assert {i: r.families for i, r in got.items()} == {1: "gpl", 2: "bsd", 3: "mit", 4: ""}

@@ -24,6 +24,8 @@ from webstrata.llm.license_texts import TEMPLATES, UNKNOWN, examples
 EXAMPLES, VOCABULARY = 240, 6000
 #: Least calibrated probability of a family, and least share of a template's n-grams, or of the paragraph's own if it has fewer.
 LIKELY, COVERED = 0.5, 0.6
+#: A paragraph counts as of so many n-grams at least (eight words have 15), so that a few common words don't confirm a family.
+LEAST = 16
 #: Every licence notice holds one of these; a paragraph without them isn't handed to the classifier.
 CUES = r"(?i)licen[cs]|copyright|rights reserved|permission|permitted|redistribut|warrant|public domain|creative commons|CC0|CC BY|CC-BY|GPL|MPL|written|disclaimer|the software"
 
@@ -91,7 +93,7 @@ def coverage(grams: Column, family: Column) -> Column:
         shares = []
         for text in texts:
             template = ngrams_of(words_of(F.lit(text)), 2)
-            shares.append(F.size(F.array_intersect(grams, template)) / F.greatest(F.size(template), F.lit(1)))
+            shares.append(F.size(F.array_intersect(grams, template)) / F.greatest(F.least(F.size(template), F.greatest(F.size(grams), F.lit(LEAST))), F.lit(1)))
         best = F.when(family == name, F.greatest(*shares, F.lit(0.0))).otherwise(best)
     return best
 
