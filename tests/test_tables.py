@@ -67,3 +67,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_site_rules_cover_every_page(spark, sf_dir):
+    import __spark_entry__ as e
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = e.queries()["article_by_site_rule"](spark, sf_dir)
+    assert sorted(r.page_id for r in got.select("page_id").collect()) == sorted(r.page_id for r in pages.select("page_id").collect())
+    assert got.where("rules not like 'site:%'").count() == 0 and got.select("rules").distinct().count() > 5

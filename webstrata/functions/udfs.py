@@ -141,8 +141,8 @@ def metadata_records(pages: DataFrame, keys: list[str], charset: str | None = No
     return kept.mapInPandas(run, f"{fields}, {METADATA}")
 
 
-def articles(pages: DataFrame, keys: list[str], rules: Mapping[str, readability.SiteRule] | None = None) -> DataFrame:
-    """keys and the extraction of every page; takes html, final_url, title (text or null), host_dir and, if there, media_type and accessible_for_free."""
+def articles(pages: DataFrame, keys: list[str], rules: Mapping[str, readability.SiteRule] | None = None, other: readability.SiteRule | None = None) -> DataFrame:
+    """keys and the extraction of every page, by its host's rule or, without one, by `other`; takes html, final_url, title (text or null), host_dir and, if there, media_type and accessible_for_free."""
     rules = dict(rules or {})
     more = [c for c in ("media_type", "accessible_for_free") if c in pages.columns]
     kept = pages.select(*keys, *(F.col(c).alias(f"x_{c}") for c in ("final_url", "html", "title", "host_dir", *more)))
@@ -155,7 +155,7 @@ def articles(pages: DataFrame, keys: list[str], rules: Mapping[str, readability.
         if kind not in ("text/html", "application/xhtml+xml"):
             return readability.record("nothing", "heuristic")
         free = getattr(row, "x_accessible_for_free", None)
-        return readability.article(row.x_html or "", row.x_final_url or "", row.x_title, None if free is None or free != free else bool(free), row.x_host_dir, rules.get(row.x_host_dir))
+        return readability.article(row.x_html or "", row.x_final_url or "", row.x_title, None if free is None or free != free else bool(free), row.x_host_dir, rules.get(row.x_host_dir, other))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
