@@ -8,7 +8,7 @@ import numpy as np
 from tests.llm.helpers import LONG, SCHEMA, odd
 from webstrata.llm import jaccard_join, topk_search
 from webstrata.llm.components import components
-from webstrata.llm.signature_tree import Tree, candidates
+from webstrata.llm.signature_tree import Tree, bitmap_of, candidates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -35,8 +35,8 @@ def brute_components(rows, words, percent):
 
 
 def test_jaccard_components_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "FEW", 2)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "GROUP_PART", 8)
+    monkeypatch.setattr(jaccard_join, "CLUSTER_PART", 300)
     rng = random.Random(3)
     rows = []
     for base in range(6):
@@ -64,7 +64,7 @@ def test_jaccard_of_hot_shingles_is_salted_and_whole(spark, monkeypatch):
 def test_signature_trees_lose_no_pair():
     rng = np.random.default_rng(1)
     sets = [frozenset(rng.integers(0, 60, rng.integers(5, 40)).tolist()) for _ in range(120)]
-    bits = np.frombuffer(b"".join(jaccard_join.bitmap_of(np.array(sorted(s), np.uint64) << np.uint64(40)) for s in sets), np.uint64).reshape(len(sets), -1)
+    bits = np.frombuffer(b"".join(bitmap_of(np.array(sorted(s), np.uint64) << np.uint64(40), 2) for s in sets), np.uint64).reshape(len(sets), -1)
     tree = Tree(np.array([len(s) for s in sets]), bits, np.arange(len(sets)))
     x, y = candidates(tree, tree, 60)
     found = {frozenset(p) for p in zip(x.tolist(), y.tolist())}

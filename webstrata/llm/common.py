@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +20,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch tables that haven't been dropped, by application.
+_left: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset (tests on one machine) is it set here."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, one of this machine, but only if all executors are on it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        found = kept or f"file://{tempfile.mkdtemp(prefix='webstrata-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='webstrata-')}")
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends there, and lost executors cost only their own tasks."""
+    """df as a scratch table in the shared folder, read back: lineage ends there, and lost executors cost only their own tasks."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    _left.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, [df.scratch])
+
+
+def release(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Deletes all scratch tables but those that a frame reads, and lets Spark drop shuffle files that no frame needs.
+
+    For whoever has written an operator's result: that result's scratch tables are read no more."""
+    read = [unquote(f) for f in but.inputFiles()] if but is not None else []
+    own = _left.get(spark.sparkContext.applicationId, [])
+    _delete(spark, [p for p in own if not any(f"/{p.rsplit('/', 1)[1]}/" in f for f in read)])
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, own = spark.sparkContext._jvm, _left.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path in own:
+            own.remove(path)
 
 
 def steps(batches: Iterator[pa.RecordBatch], texts: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

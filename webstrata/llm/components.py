@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import written
+from webstrata.llm.common import drop, written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of a link table (a, b); root is the smallest node that links reach.
+    """A written table (node, root) for every node of a link table (a, b); root is the smallest node that links reach.
 
     Each round hangs every larger neighbour on a node's smallest one, then every
     smaller-or-equal one, until all edges lead to roots; rounds grow with the logarithm of
@@ -19,16 +19,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(most_rounds):
         if settled(edges):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            roots = written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+            drop(edges)
+            return roots
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: neighbours above u move to u's smallest
         moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(moved.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        moved = moved.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         # small star: neighbours below u, and u, move to the smallest of them
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        least = moved.groupBy("u").agg(F.min("v").alias("m"))
+        hung = moved.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, edges = edges, written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(last)
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 

@@ -4,23 +4,24 @@
    only sets the order in which shingles are looked at, rare ones first.
 2. Each text gives its set's size, digest, bitmap and prefix: the shingles of
    which any linked set must hold one. Sets with one digest are one set from here.
-3. Prefix shingles, packed, are dealt out by shingle; those of one set go no
-   further. Sets of a rare shingle are paired at once. Of a more frequent one,
-   each set is held against one candidate, the smallest digest it meets; that
-   ties up groups of near copies with as many comparisons as they have members.
-   Bitmaps rule out pairs, and what is left is compared exactly.
-4. Shingles that still join different components are looked at in full: their
-   sets stand in a signature tree, whose dual traversal rules out node pairs by
-   size ranges and by the most overlap that the bitmaps allow. What is left is
-   compared exactly: first a forest over the components of a bucket, so that a
-   group that one candidate didn't tie up is tied by as many pairs as it has
-   parts; after a few rounds all that is left between different components.
-   Shingles of very many sets are dealt out as pairs of blocks.
+3. Prefix shingles, packed, are dealt out by shingle. Sets that share one, and
+   whose sizes allow a link, are a group; of a group nothing is sent on but its
+   members' digests, once for all shingles with the same smallest digest.
+4. A group's sets stand in signature trees, one for each width of bitmap, whose
+   dual traversal rules out node pairs by size ranges and by the most overlap
+   that the bitmaps allow. What is left ties sets to clusters.
+5. A set's whole shingles go once to its cluster, where the same traversal, with
+   wide bitmaps, leaves few pairs. They are compared exactly, unless links
+   already join them. So every link between components is found, and a group of
+   near copies costs about as many comparisons as it has members.
+
+A group or cluster too large for one task is cut into parts: first each part
+alone, with one set that all parts get; if that doesn't tie it up, all pairs of parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import hashes_of, shingle_hashes, steps, words_of, written
+from webstrata.llm.common import drop, hashes_of, mixed, shingle_hashes, steps, words_of, written
 from webstrata.llm.components import components
-from webstrata.llm.signature_tree import FAN, Leaves, Tree, candidates, counted, possible
-
-#: Cells of the frequency sketch; bits of a set's bitmap; bits of the filter that picks which sets are worked out again.
-CELLS, BITMAP, FILTER = 1 << 18, 2048, 1 << 25
-#: A shingle that the sketch counts in more documents is dealt out over several buckets; sets in a block of step 4; prefix shingles a bucket of
-#: step 3, and sets a bucket of step 4.
-HOT, BLOCK, BUCKET, TRAVERSED = 50_000, 4096, 1_000_000, 30_000
-#: Sets of a shingle that are paired at once; digests that a dealing task remembers.
-FEW, SEEN = 8, 500_000
-#: Rounds of step 4 in which a bucket compares a forest of pairs; then it compares all that are left.
-FORESTS = 2
+from webstrata.llm.signature_tree import Forest, Signatures, bitmap_of, tie
+
+#: Cells of the frequency sketch. Bits of a bitmap for each element: of all sets, and of those of a cluster.
+CELLS, NEAR_BITS, EXACT_BITS = 1 << 18, 2, 16
+#: Least and most bits of the filter that picks the documents whose sets are worked out again.
+FILTER = (1 << 20, 1 << 27)
+#: A shingle that the sketch counts in so many documents beyond its noise is dealt out over several buckets; prefix shingles a bucket;
+#: digests that a task remembers.
+HOT, BUCKET, SEEN = 50_000, 1_000_000, 500_000
+#: Most sets in a part of a group, and shingles in a part of a cluster; sets and shingles a task.
+GROUP_PART, CLUSTER_PART, GROUP_TASK, CLUSTER_TASK = 8192, 4_000_000, 30_000, 4_000_000
 PIECE = 1 << 10
 
 
@@ -57,12 +58,6 @@ def digest_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes())
 
 
-def bitmap_of(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(shingles >> np.uint64(40)).astype(np.int64) % BITMAP] = 1
-    return np.packbits(bits).tobytes()
-
-
 def prefix_of(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The shingles that come first in the common order, as many as must hold one of any linked set's."""
     n = len(shingles)
@@ -99,7 +94,7 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     summed = docs.select("text").mapInArrow(_sketch(words), "piece int, counts binary").repartition(min(n, CELLS // PIECE), "piece").mapInArrow(_sketch_sum, "piece int, counts binary")
     out = np.zeros(CELLS, np.int64)
-    for row in summed.toLocalIterator():
+    for row in summed.collect():  # CELLS numbers
         out[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.counts, "<i8")
     return out
 
@@ -112,7 +107,7 @@ def _describe(words: int, percent: int, counts):
             for own in sets_of(batch.column("text"), words):
                 n.append(len(own))
                 digests.append(digest_of(own) if len(own) else None)
-                bits.append(bitmap_of(own) if len(own) else None)
+                bits.append(bitmap_of(own, NEAR_BITS) if len(own) else None)
                 prefixes.append(prefix_of(own, order, percent).astype("<u8").tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "n_shingles", "digest", "bits", "prefix"])
 
@@ -124,6 +119,8 @@ def _deal(buckets: int, counts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
+        usual = np.median(order)
+        salts_of = np.maximum(order - int(usual + 10 * np.median(np.abs(order - usual))), 0) // HOT
         seen: set[bytes] = set()
         for batch in steps(batches, "prefix", 4_000_000):
             # of copies with one set, the first that this task meets; the others' rows would only repeat it
@@ -142,7 +139,7 @@ def _deal(buckets: int, counts):
             sizes = batch.column("n_shingles").to_numpy(zero_copy_only=False)
             tokens = np.concatenate(prefixes)
             owner = np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
-            salts = order[(tokens % np.uint64(CELLS)).astype(np.int64)] // HOT
+            salts = salts_of[(tokens % np.uint64(CELLS)).astype(np.int64)]
             salted = salts > 0
             salt = np.zeros(len(tokens), np.uint64)
             if salted.any():
@@ -160,14 +157,13 @@ def _deal(buckets: int, counts):
     return run
 
 
-MET = "token long, digest binary, size long, leader binary, leader_size long"
+MET = "key long, digest binary, size long"
 
 
 def _meet(percent: int):
-    """Of one bucket, the sets that share a shingle.
+    """Of one bucket, the groups of sets that share a shingle, named by the smallest digest among them.
 
-    Shingles of few sets give candidate pairs at once, with token null. Those of more give a row for each set,
-    with the smallest digest of the run as its leader.
+    In order of size, a set that is too small for the next one ends a group. A hot shingle's sets may be met in other buckets too, so it names its group itself.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -186,122 +182,109 @@ def _meet(percent: int):
         new = np.concatenate([[True], (np.diff(halves[order], axis=0) != 0).any(axis=1)])
         code = np.empty(len(order), np.int64)
         code[order] = np.cumsum(new) - 1
-        digests, sizes, who = digests[order][new], sizes[order][new].astype(np.int64), code[who]
-        by = np.lexsort((who, salts, tokens))
-        tokens, who, salts = tokens[by], who[by], salts[by].astype(np.int64)
+        names, digests, sizes, who = halves[order][new][:, 0].view(np.int64), digests[order][new], sizes[order][new].astype(np.int64), code[who]
+        by = np.lexsort((who, sizes[who], salts, tokens))
+        tokens, who, salts = tokens[by], who[by], salts[by]
         fresh = np.concatenate([[True], (np.diff(tokens) != 0) | (np.diff(salts) != 0) | (np.diff(who) != 0)])
         tokens, who, salts = tokens[fresh], who[fresh], salts[fresh]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(tokens) != 0) | (np.diff(salts) != 0)]))
-        runs = np.diff(np.concatenate([first, [len(tokens)]]))
-        few = (runs > 1) & (runs <= FEW) & (salts[first] == 0)
-        x, y = _all_pairs(first[few], runs[few])
-        x, y = np.divmod(np.unique(who[x] * len(digests) + who[y]), len(digests))
-        ok = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
-        x, y = x[ok], y[ok]
-        # a hot shingle's sets may be met in another bucket, so even a lone one stays
-        more = np.repeat((runs > FEW) | (salts[first] > 0), runs)
-        leader = np.repeat(who[first], runs)[more]
-        tokens, who = tokens[more], who[more]
-        take = lambda a, b: pa.array([bytes(v) for v in digests[np.concatenate([a, b])]], pa.binary())
-        size = lambda a, b: pa.array(sizes[np.concatenate([a, b])])
-        return pa.table([pa.array([*[None] * len(x), *tokens.view(np.int64).tolist()], pa.int64()), take(y, who), size(y, who), take(x, leader), size(x, leader)], names=["token", "digest", "size", "leader", "leader_size"])
+        own = sizes[who]
+        cut = (np.diff(tokens) != 0) | (np.diff(salts) != 0) | ((salts[1:] == 0) & (100 * own[:-1] < percent * own[1:]))
+        firsts = np.flatnonzero(np.concatenate([[True], cut]))
+        runs = np.diff(np.concatenate([firsts, [len(tokens)]]))
+        key = np.where(salts[firsts] > 0, tokens[firsts].view(np.int64), names[np.minimum.reduceat(who, firsts)])
+        kept = np.repeat((runs > 1) | (salts[firsts] > 0), runs)
+        key, who = np.repeat(key, runs)[kept], who[kept]
+        by = np.lexsort((who, key))
+        key, who = key[by], who[by]
+        once = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(who) != 0)]) if len(key) else np.zeros(0, bool)
+        key, who = key[once], who[once]
+        return pa.table([pa.array(key), pa.array([bytes(v) for v in digests[who]], pa.binary()), pa.array(sizes[who])], names=["key", "digest", "size"])
 
     return run
 
 
-def _all_pairs(firsts: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j within each run."""
-    i = np.repeat(firsts, runs * runs)
-    k = np.arange(len(i)) - np.repeat(np.cumsum(runs * runs) - runs * runs, runs * runs)
-    n = np.repeat(runs, runs * runs)
-    a, b = k // n, k % n
-    ok = a < b
-    return i[ok] + a[ok], i[ok] + b[ok]
+LINKS = "a binary, b binary"
+ROW = ("bucket", "key", "part", "part2", "side", "root", "digest")
 
 
-def _traverse(percent: int, whole_rest: bool):
-    """Of the shingles of one bucket, pairs of sets of different components that their signature trees don't rule out.
+def _ties(percent: int, exact: bool):
+    """Of the groups in one bucket, what ties their sets: all that bitmaps allow, or with whole sets those that link.
 
-    Of those that weren't compared before, a forest over the components, likeliest pairs first: as many pairs as
-    components at most. With whole_rest, all.
+    A set and the smallest digest that it is tied to; so clusters that lie in one bucket are settled.
     """
 
-    def run(table: pa.Table, compared: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return EMPTY
-        sizes = table.column("size").to_numpy()
-        digests = np.array([np.void(x) for x in table.column("digest").to_pylist()], dtype="V16")
-        groups = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct, codes = np.unique(digests, return_inverse=True)
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(sizes), -1)
-        tokens, part, part2, side = (table.column(c).to_numpy() for c in ("token", "part", "part2", "side"))
-        by = np.lexsort((side, part2, part, tokens))
-        fresh = np.ones(len(by), bool)
-        fresh[1:] = (np.diff(tokens[by]) != 0) | (np.diff(part[by]) != 0) | (np.diff(part2[by]) != 0)
-        firsts = np.flatnonzero(fresh)
-        runs = np.diff(np.concatenate([firsts, [len(by)]]))
-        whole = part[by][firsts] == part2[by][firsts]
-        # few sets: all in one leaf, so its pairs are the traversal
-        few = whole & (runs <= 2 * FAN)
-        x, y = _all_pairs(firsts[few], runs[few])
-        found = [np.stack([by[x], by[y]])]
-        for first, n, one in zip(firsts[~few], runs[~few], whole[~few]):
-            rows = by[first : first + n]
-            if one:
-                tree = Tree(sizes[rows], bits[rows], groups[rows])
-                x, y = candidates(tree, tree, percent)
-                found.append(np.stack([rows[x], rows[y]]))
-            else:
-                left, right = rows[side[rows] == 0], rows[side[rows] == 1]
-                if len(left) and len(right):
-                    x, y = candidates(Tree(sizes[left], bits[left], groups[left]), Tree(sizes[right], bits[right], groups[right]), percent)
-                    found.append(np.stack([left[x], right[y]]))
-        x, y = np.concatenate(found, axis=1)
-        ok = groups[x] != groups[y]
-        x, y = x[ok], y[ok]
-        low, high = np.minimum(codes[x], codes[y]), np.maximum(codes[x], codes[y])
-        _, once = np.unique(low * np.int64(len(distinct)) + high, return_index=True)
-        x, y = x[once], y[once]
-        leaf = Tree(sizes, bits, groups)
-        at = np.empty(len(sizes), np.int64)
-        at[leaf.order] = np.arange(len(sizes))
-        keep = np.concatenate([possible(leaf, at[x[s : s + 100_000]], 0, leaf, at[y[s : s + 100_000]], 0, percent) for s in range(0, len(x), 100_000)] or [np.zeros(0, bool)])
-        x, y = x[keep], y[keep]
-        if compared.num_rows and len(x):
-            names = {bytes(d): i for i, d in enumerate(distinct)}
-            old = {(names[a], names[b]) for a, b in zip(compared.column("a").to_pylist(), compared.column("b").to_pylist()) if a in names and b in names}
-            fresh = np.array([(p, q) not in old and (q, p) not in old for p, q in zip(codes[x].tolist(), codes[y].tolist())], bool)
-            x, y = x[fresh], y[fresh]
-        if not whole_rest and len(x):
-            shared = np.concatenate([counted(bits[x[s : s + 100_000]] & bits[y[s : s + 100_000]]) / np.maximum(counted(bits[x[s : s + 100_000]] | bits[y[s : s + 100_000]]), 1) for s in range(0, len(x), 100_000)])
-            x, y = _forest(x, y, groups, shared)
-        pairs = [sorted((bytes(digests[a]), bytes(digests[b]))) for a, b in zip(x, y)]
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table([pa.array([bucket] * len(pairs), pa.int64()), pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["bucket", "a", "b"])
+    def run(table: pa.Table) -> pa.Table:
+        digests, roots = table.column("digest").to_pylist(), table.column("root").to_pylist()
+        first, code = [], {}
+        for i, d in enumerate(digests):
+            if d not in code:
+                code[d] = len(code)
+                first.append(i)
+        codes = np.fromiter(map(code.__getitem__, digests), np.int64, len(digests))
+        names = list(code)
+        held = table.column("held").take(pa.array(first, pa.int64())).to_pylist()
+        compare = None
+        if exact:
+            sets = [np.frombuffer(x, "<u8") for x in held]
+            sizes, bitmaps = np.array([len(x) for x in sets], np.int64), [bitmap_of(x, EXACT_BITS) for x in sets]
+
+            def compare(i: int, j: int) -> bool:
+                a, b = sets[i], sets[j]
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                return 100 * common >= percent * (len(a) + len(b) - common)
+        else:
+            sizes, bitmaps = table.column("size").take(pa.array(first, pa.int64())).to_numpy(), held
+        forest, named = Forest(len(names)), {}
+        for i in first:
+            if roots[i] is not None:
+                forest.join(*(np.array([x]) for x in (codes[i], named.setdefault(roots[i], codes[i]))))
+        key, part, part2, side = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "part", "part2", "side"))
+        keys = mixed(mixed(key.view(np.uint64)) + (part * 2**20 + part2).astype(np.uint64)).view(np.int64)
+        tie(Signatures(sizes, bitmaps, percent), keys, codes, side, forest, compare)
+        labels, least = forest.labels(), {}
+        for i, label in enumerate(labels.tolist()):
+            least[label] = min(names[i], least.get(label, names[i]))
+        ends = [(names[i], least[label]) for i, label in enumerate(labels.tolist()) if names[i] != least[label]]
+        return pa.table([pa.array([a for a, _ in ends], pa.binary()), pa.array([b for _, b in ends], pa.binary())], names=["a", "b"])
 
     return run
 
 
-EMPTY = pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["bucket", "a", "b"])
-
+def compared(members: DataFrame, most: int, task: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) within groups, as a written table. members has key, digest, weight; a part of a group weighs about `most`, a task's parts `task`.
 
-def _forest(x: np.ndarray, y: np.ndarray, groups: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a heaviest spanning forest over groups."""
-    parent = np.arange(groups.max() + 1)
-
-    def root(g: int) -> int:
-        while parent[g] != g:
-            parent[g] = parent[parent[g]]
-            g = parent[g]
-        return g
-
-    kept = []
-    for i in np.argsort(-weight, kind="stable"):
-        a, b = root(groups[x[i]]), root(groups[y[i]])
-        if a != b:
-            parent[a] = b
-            kept.append(i)
-    return x[kept], y[kept]
+    compare makes links of rows that name bucket, key, part, part2, side, root and digest.
+    """
+    spark = members.sparkSession
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda df: max(parallel, (df.agg(F.sum("weight")).first()[0] or 0) // task + 1)
+    dealt = lambda df, n: df.withColumn("bucket", F.pmod(F.xxhash64("key", "part", "part2"), F.lit(n)))
+    parts = F.ceil(F.col("all") / F.lit(most)).cast("int")
+    large = written(members.groupBy("key").agg(F.sum("weight").alias("all"), F.min("digest").alias("pivot")).where(F.col("all") > most).select("key", "pivot", parts.alias("parts")), "large")
+    none, nobody = F.lit(0), F.lit(None).cast("binary").alias("root")
+    own = F.pmod(F.xxhash64("digest"), F.coalesce("parts", F.lit(1))).cast("int")
+    alone = members.join(large.select("key", "parts"), "key", "left").select("key", own.alias("part"), "digest")
+    pivots = large.select("key", F.explode(F.sequence(none, F.col("parts") - 1)).alias("part"), F.col("pivot").alias("digest"))
+    alone = alone.unionByName(pivots).select("key", "part", F.col("part").alias("part2"), none.alias("side"), nobody, "digest")
+    links = written(compare(dealt(alone, tasks(members))), "links")
+    if large.isEmpty():
+        drop(large)
+        return links
+    # of groups in parts, those that aren't tied up
+    roots = components(links)
+    labelled = members.join(large.select("key", "parts"), "key").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    labelled = written(labelled, "labelled")
+    open_ = written(labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "open")
+    drop(roots, large)
+    if not open_.isEmpty():
+        both = labelled.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(none, F.col("parts") - 1))).where("own <> other")
+        both = both.select("key", F.least("own", "other").alias("part"), F.greatest("own", "other").alias("part2"), (F.col("own") > F.col("other")).cast("int").alias("side"), "root", "digest", "weight")
+        both = written(both, "blocks")
+        more = written(compare(dealt(both, tasks(both)).drop("weight")), "links")
+        first, links = links, written(links.unionByName(more), "links")
+        drop(first, more, both)
+    drop(labelled, open_)
+    return links
 
 
 def _sets_again(words: int, wanted):
@@ -309,54 +292,31 @@ def _sets_again(words: int, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = wanted.value
+        seen: set[bytes] = set()
         for batch in steps(batches):
             at = batch.column("place").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
-            if batch.num_rows:
-                own = sets_of(batch.column("text"), words)
-                yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in own], pa.binary()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["digest", "shingles"])
-
-    return run
-
-
-def _bounded(percent: int):
-    """Leaf against leaf: pairs of sets that sizes and bitmaps don't rule out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            leaves = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(n, -1)
-            a, b = (Leaves(batch.column(c).to_numpy(zero_copy_only=False), leaves(x)) for c, x in (("size_a", "bits_a"), ("size_b", "bits_b")))
-            at = np.arange(n)
-            yield batch.select(["a", "b"]).filter(pa.array(possible(a, at, 0, b, at, 0, percent)))
+            own = {digest_of(x): x for x in sets_of(batch.column("text"), words)} if batch.num_rows else {}
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = [d for d in own if d not in seen]
+            seen.update(fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.binary()), pa.array([own[d].astype("<u8").tobytes() for d in fresh], pa.binary())], names=["digest", "held"])
 
     return run
 
 
-def possible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) whose bitmaps allow enough overlap."""
-    side = lambda x: nodes.select(F.col("digest").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a binary, b binary"), "candidates")
-
-
-def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of candidate pairs of digests (a, b), those whose whole sets link. A bitmap of fixed size picks the documents to work out again."""
-    spark = docs.sparkSession
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    needed = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct().join(nodes.select("digest", "doc_id"), "digest")
-    filled = needed.select((place("doc_id") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    held = np.zeros(FILTER // 8, np.uint8)
-    for row in filled.toLocalIterator():
+def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(digest, held) of documents with these ids, and of a few others; a bitmap of bounded size picks them before any text is split."""
+    n, (least, most) = ids.count(), FILTER
+    bits = min(most, max(least, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    filled = ids.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    held = np.zeros(bits // 8, np.uint8)
+    for row in filled.collect():  # at most FILTER bits
         held[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.bits, np.uint8)
-    wanted = spark.sparkContext.broadcast(held)
-    numbered = docs.select(F.col("text"), (place("doc_id")).alias("place"))
-    sets = numbered.mapInArrow(_sets_again(words, wanted), "digest binary, shingles array<long>").groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets, "sets")
-    left, right = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return written(both.where(F.expr(f"100L * common >= {percent}L * (na + nb - common)")).select("a", "b"), "links")
+    wanted = docs.sparkSession.sparkContext.broadcast(held)
+    return docs.select("text", place.alias("place")).mapInArrow(_sets_again(words, wanted), "digest binary, held binary")
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -367,61 +327,39 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     Returns doc_id, n_shingles, component_id: the smallest doc_id that links reach, the own included.
     Defined for odd inputs: a null, empty or blank text has no shingle and links with nothing; one with fewer
     words has one, its whole sequence. Each row is a document, so repeated rows link like copies; a row without
-    doc_id links too, and its component_id is that of those with one (null if there is none). An empty table
-    gives an empty one.
+    doc_id links too, and its component_id is that of those with one (null if there is none). doc_id has to be
+    a whole number. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(sketch(docs, words))
     described = written(docs.mapInArrow(_describe(words, percent, counts), "doc_id long, n_shingles long, digest binary, bits binary, prefix binary"), "described")
     present = described.where("digest is not null")
-    nodes = written(present.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size")), "nodes")
+    nodes = written(present.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("held"), F.first("n_shingles").alias("size")), "nodes")
 
     total = present.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parallel, total // 8 // BUCKET + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8 // BUCKET + 1)
     dealt = present.select("digest", "n_shingles", "prefix").mapInArrow(_deal(buckets, counts), "bucket long, tokens binary, owners binary, salts binary, digests binary, sizes binary")
     met = written(dealt.groupBy("bucket").applyInArrow(_meet(percent), MET), "met")
+    members = written(met.select("key", "digest", F.lit(1).cast("long").alias("weight")).distinct(), "members")
+
+    def by_bitmaps(rows: DataFrame) -> DataFrame:
+        return rows.join(nodes.select("digest", "size", "held"), "digest").select(*ROW, "size", "held").groupBy("bucket").applyInArrow(_ties(percent, False), LINKS)
+
+    near = compared(members, GROUP_PART, GROUP_TASK, by_bitmaps)
+    clusters = components(near)
+    own = written(clusters.withColumnRenamed("node", "digest").join(nodes.select("digest", "doc_id", "size"), "digest").select(F.xxhash64("root").alias("key"), "digest", F.col("size").alias("weight"), "doc_id"), "clusters")
+    drop(met, members, near, clusters)
+
+    def by_sets(rows: DataFrame) -> DataFrame:
+        return rows.join(whole_sets(docs, own.join(rows, "digest", "left_semi"), words), "digest").select(*ROW, "held").groupBy("bucket").applyInArrow(_ties(percent, True), LINKS)
 
-    # pairs of rare shingles, and of others one candidate a set: the smallest digest it meets that its size allows
-    fits = F.expr(f"100L * least(size, leader_size) >= {percent}L * greatest(size, leader_size)")
-    pairs = met.where("token is null").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = met.where("token is not null and leader <> digest").where(fits).groupBy(F.col("digest").alias("a")).agg(F.min("leader").alias("b"))
-    first = possible_pairs(pairs.unionByName(stars), nodes, percent)
-    links = linked(docs, nodes, first, words, percent)
-    roots = written(components(links), "roots")
-
-    # shingles of more sets that still join different components, in full
-    shared = met.where("token is not null").select("token", "digest", "size")
-    compared = spark.createDataFrame([], "bucket long, a binary, b binary")
-    tasks, rest = None, False
-    for round_ in range(FORESTS + 1):
-        rest = rest or round_ == FORESTS
-        labelled = written(shared.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "labelled")
-        open_ = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low <> high").select("token", "sets")
-        open_ = written(open_, "open")
-        if tasks is None:
-            # many shingles with few sets share a bucket; a block pair of a shingle with many is at most 2 * BLOCK of its rows
-            tasks = max(parallel, (open_.agg(F.sum("sets")).first()[0] or 0) // TRAVERSED + 1)
-        rows = labelled.join(open_, "token").join(nodes.select("digest", "bits"), "digest")
-        rows = rows.withColumn("parts", F.ceil(F.col("sets") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("token", F.least("own", "other").alias("part"), F.greatest("own", "other").alias("part2"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "digest", "size", "root", "bits")
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("token", "part", "part2"), F.lit(tasks)))
-        pairs = written(rows.groupBy("bucket").cogroup(compared.groupBy("bucket")).applyInArrow(_traverse(percent, rest), "bucket long, a binary, b binary"), "pairs")
-        if pairs.isEmpty():
-            break
-        more = linked(docs, nodes, pairs.select("a", "b").distinct(), words, percent)
-        found = not more.isEmpty()
-        if found:
-            roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
-        if rest:
-            break
-        rest = not found  # a forest without a link: what is left is compared at once
-        # what was compared without a link isn't compared again
-        compared = compared.unionByName(pairs.join(more, ["a", "b"], "left_anti"))
+    links = compared(own.select("key", "digest", "weight"), CLUSTER_PART, CLUSTER_TASK, by_sets)
+    roots = components(links)
+    drop(own, links)
 
     placed = described.select("doc_id", "n_shingles", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     placed = written(placed.withColumn("root", F.coalesce("root", "digest")).drop("digest"), "placed")
     least = written(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least_ids")
+    drop(described, nodes, roots)
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
