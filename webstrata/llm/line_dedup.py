@@ -85,7 +85,7 @@ def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     n = min(max(1, bits // 8 // PIECE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     merged = partial.repartition(n, "piece").mapInArrow(_bloom_merge, "piece int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # one filter
         out[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.twice, np.uint8)
     return out
 
