@@ -74,3 +74,17 @@ def test_sequences_hold_the_pieces_and_empty_tables_work(spark):
     one = sequences(pack(docs, PATH, with_ids=True)).collect()
     assert len(one) == 1 and sorted(one[0].doc_ids) == [1, 2] and len(one[0].ids) == 7
     assert pack(docs.limit(0), PATH).count() == 0
+
+
+def test_large_ids_stay_beside_a_null(spark):
+    rows = [(2**60 + 1, "a"), (2**60 + 2, "b"), (None, "c")]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert {r.doc_id for r in got} == {2**60 + 1, 2**60 + 2, None}
+
+
+def test_copies_of_one_row_are_dealt_over_the_groups(spark):
+    got = pack(spark.createDataFrame([(1, "a b c")] * 400, "doc_id long, text string"), PATH, group_docs=20).collect()
+    groups = {}
+    for r in got:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(groups) == 20 and max(groups.values()) <= 60

@@ -3,7 +3,7 @@
 A document longer than a sequence is cut at multiples of the sequence's length;
 its full pieces are sequences by themselves, and what is left competes for room
 with the other documents of its group. Groups are drawn by a hash of the
-document, so their number follows the table and their size doesn't; only piece
+piece's place, so their number follows the table and their size doesn't; only piece
 lengths are shuffled, never texts or ids.
 """
 
@@ -123,7 +123,8 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, group_docs: int
     groups = max(1, -(-docs.count() // group_docs))
     pieces = docs.mapInArrow(_pieces(tokenizer, length, with_ids), PIECES)
     pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")
-    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids_crc32"), F.lit(groups))
+    # drawn for each piece by its place in the written table, so that copies of one document don't share a group
+    group = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups))
     # a full piece is a sequence; its id is drawn from the piece itself, in the odd numbers
     keyed = pieces.withColumn("pack_group", group)
     full = keyed.where(F.col("length") == length)
@@ -132,14 +133,14 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, group_docs: int
     columns = [f for f in pieces.schema.names]
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
 
-    def packed(key, pdf):
-        pdf = pdf.sort_values(["doc_id", "ids_crc32", "start"], kind="stable")
-        bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), length)
-        return pdf[columns].assign(sequence_id=(int(key[0]) << 32) + 2 * bins, offset=offsets)
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.select(columns).sort_by([(c, "ascending") for c in ("doc_id", "ids_crc32", "start")])
+        bins, offsets = first_fit_decreasing(rows.column("length").to_numpy(), length)
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + 2 * bins)).append_column("offset", pa.array(offsets))
 
     if groups > spark.sparkContext.defaultParallelism:
         part = part.repartition(min(groups, 100_000), "pack_group")
-    part = part.groupBy("pack_group").applyInPandas(packed, out)
+    part = part.groupBy("pack_group").applyInArrow(packed, out)
     numbered = full.withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long")).drop("pack_group")
     return part.unionByName(numbered)
 
