@@ -11,7 +11,9 @@ import pyarrow as pa
 class Memo:
     """Ids of words, encoded once while the worker remembers them; past `most` words it starts afresh.
 
-    encode gives how many ids each word has, and all ids in a row."""
+    encode gives how many ids each word has, and all ids in a row. A worker that goes on to another memo forgets the one before."""
+
+    used: Memo | None = None
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
@@ -22,6 +24,9 @@ class Memo:
         self.sizes, self.firsts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def places(self, words: list[str]) -> np.ndarray:
+        if Memo.used not in (None, self):
+            Memo.used.forget()
+        Memo.used = self
         if len(self.place) > self.most:
             self.forget()
         new = list(dict.fromkeys(w for w in words if w not in self.place))

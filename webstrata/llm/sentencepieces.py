@@ -188,7 +188,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        self.memo = Memo(self._encoded, 1_200_000)
+        self.memo = Memo(self._encoded, 800_000)
         self.raw = np.array(self.v.raw, dtype=object)
 
     def stream(self, segment: str) -> list[int]:
