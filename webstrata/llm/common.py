@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of an operator's Python holds at once. Batches are cut to this; a longer single text is a step of its own.
 STEP_BYTES = 4_000_000
@@ -20,8 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Scratch tables that haven't been dropped, by application.
-_left: dict[str, list[str]] = {}
+#: Scratch tables that haven't been dropped, by application and owner.
+_left: dict[tuple[str, str], list[str]] = {}
+_owner: ContextVar[str] = ContextVar("owner", default="")
+
+
+@contextmanager
+def owner(name: str) -> Iterator[None]:
+    """Scratch tables written within are this owner's, for release()."""
+    token = _owner.set(name)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,7 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch = path
-    _left.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _left.setdefault((spark.sparkContext.applicationId, _owner.get()), []).append(path)
     return back
 
 
@@ -52,23 +67,64 @@ def drop(*tables: DataFrame) -> None:
         _delete(df.sparkSession, [df.scratch])
 
 
-def release(spark: SparkSession, but: DataFrame | None = None) -> None:
-    """Deletes all scratch tables but those that a frame reads, and lets Spark drop shuffle files that no frame needs.
+def release(spark: SparkSession, name: str, but: DataFrame | None = None) -> None:
+    """Deletes an owner's scratch tables but those that a frame reads, and lets Spark drop the shuffle files that no frame needs.
 
-    For whoever has written an operator's result: that result's scratch tables are read no more."""
+    For whoever has written an operator's result, whose scratch tables are then read no more."""
     read = [unquote(f) for f in but.inputFiles()] if but is not None else []
-    own = _left.get(spark.sparkContext.applicationId, [])
+    own = _left.get((spark.sparkContext.applicationId, name), [])
     _delete(spark, [p for p in own if not any(f"/{p.rsplit('/', 1)[1]}/" in f for f in read)])
     spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
-    jvm, own = spark.sparkContext._jvm, _left.get(spark.sparkContext.applicationId, [])
+    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        if path in own:
-            own.remove(path)
+        for (of, _), own in _left.items():
+            if of == app and path in own:
+                own.remove(path)
+
+
+#: Least and most bits of a row filter; rows count for 16 bits each in between.
+ROW_BITS = (1 << 20, 1 << 27)
+
+
+class RowFilter:
+    """A bitmap of bounded size, in which rows of some keys have their bit. Of other rows few have one, the more the fuller it is; so what it picks is settled by a join.
+
+    It spares the others that join's shuffle. The bitmap is all that comes to the driver and is broadcast."""
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        n, (least, most) = keys.count(), ROW_BITS
+        self.columns, self.bits = columns, min(most, max(least, 1 << (16 * n).bit_length()))
+        filled = keys.select((self.place() + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+        held = np.zeros(self.bits // 8, np.uint8)
+        for row in filled.collect():
+            held[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.bits, np.uint8)
+        self.held = keys.sparkSession.sparkContext.broadcast(held)
+
+    def place(self) -> Column:
+        return F.pmod(F.xxhash64(*self.columns), F.lit(self.bits))
+
+    def pick(self, df: DataFrame, within: bool = True, then: Callable | None = None, out: StructType | None = None) -> DataFrame:
+        """Rows whose bit is set, or without `within` those whose isn't; `then` goes on with their batches, in the same worker."""
+        pick = picker(self.held, within)
+        return df.withColumn("place", self.place()).mapInArrow((lambda batches: then(pick(batches))) if then else pick, out or df.schema)
+
+
+def picker(held, within: bool = True):
+    """Of batches with a column place, rows whose bit is (not) set, without that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            at = batch.column("place").to_numpy(zero_copy_only=False)
+            on = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            yield batch.drop_columns(["place"]).filter(pa.array(on if within else ~on))
+
+    return run
 
 
 def steps(batches: Iterator[pa.RecordBatch], texts: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ alone, with one set that all parts get; if that doesn't tie it up, all pairs of
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +29,14 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from webstrata.llm.common import drop, hashes_of, mixed, shingle_hashes, steps, words_of, written
+from webstrata.llm.common import RowFilter, drop, hashes_of, mixed, picker, shingle_hashes, steps, words_of, written
 from webstrata.llm.components import components
 from webstrata.llm.signature_tree import Forest, Signatures, bitmap_of, tie
 
 #: Cells of the frequency sketch. Bits of a bitmap for each element: of all sets, and of those of a cluster.
 CELLS, NEAR_BITS, EXACT_BITS = 1 << 18, 2, 16
-#: Least and most bits of the filter that picks the documents whose sets are worked out again.
-FILTER = (1 << 20, 1 << 27)
 #: A shingle that the sketch counts in so many documents beyond its noise is dealt out over several buckets; prefix shingles a bucket;
 #: digests that a task remembers.
 HOT, BUCKET, SEEN = 50_000, 1_000_000, 500_000
@@ -99,6 +98,9 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+DESCRIBED = "n_shingles long, digest binary, bits binary, prefix binary"
+
+
 def _describe(words: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
@@ -109,7 +111,9 @@ def _describe(words: int, percent: int, counts):
                 digests.append(digest_of(own) if len(own) else None)
                 bits.append(bitmap_of(own, NEAR_BITS) if len(own) else None)
                 prefixes.append(prefix_of(own, order, percent).astype("<u8").tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "n_shingles", "digest", "bits", "prefix"])
+            own = {"n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()), "bits": pa.array(bits, pa.binary()), "prefix": pa.array(prefixes, pa.binary())}
+            own = {c: batch.column(c) for c in batch.schema.names if c != "text"} | own
+            yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
 
     return run
 
@@ -288,15 +292,13 @@ def compared(members: DataFrame, most: int, task: int, compare: Callable[[DataFr
 
 
 def _sets_again(words: int, wanted):
-    """The whole sets of documents whose id is in the filter."""
+    """The whole sets of documents that the filter picks."""
+    pick = picker(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = wanted.value
         seen: set[bytes] = set()
-        for batch in steps(batches):
-            at = batch.column("place").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
-            own = {digest_of(x): x for x in sets_of(batch.column("text"), words)} if batch.num_rows else {}
+        for batch in steps(pick(batches)):
+            own = {digest_of(x): x for x in sets_of(batch.column("text"), words)}
             if len(seen) > SEEN:
                 seen.clear()
             fresh = [d for d in own if d not in seen]
@@ -307,16 +309,9 @@ def _sets_again(words: int, wanted):
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(digest, held) of documents with these ids, and of a few others; a bitmap of bounded size picks them before any text is split."""
-    n, (least, most) = ids.count(), FILTER
-    bits = min(most, max(least, 1 << (16 * n).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    filled = ids.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    held = np.zeros(bits // 8, np.uint8)
-    for row in filled.collect():  # at most FILTER bits
-        held[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.bits, np.uint8)
-    wanted = docs.sparkSession.sparkContext.broadcast(held)
-    return docs.select("text", place.alias("place")).mapInArrow(_sets_again(words, wanted), "digest binary, held binary")
+    """(digest, held) of documents with these ids, and of a few others; a filter picks them before any text is split."""
+    wanted = RowFilter(ids, "doc_id")
+    return docs.select("text", wanted.place().alias("place")).mapInArrow(_sets_again(words, wanted.held), "digest binary, held binary")
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -330,10 +325,20 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     doc_id links too, and its component_id is that of those with one (null if there is none). doc_id has to be
     a whole number. An empty table gives an empty one.
     """
+    placed = jaccard_groups(docs, words=words, percent=percent)
+    least = written(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least_ids")
+    return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_groups(docs: DataFrame, *, words: int, percent: int, carry: Sequence[str] = ()) -> DataFrame:
+    """A written table with a row for each of docs: doc_id, carry, n_shingles, root: one for all that links join, null without a shingle."""
+    if clash := {"doc_id", "text", "n_shingles", "digest", "bits", "prefix", "root"} & set(carry):
+        raise ValueError(f"carried columns with the operator's own names: {sorted(clash)}")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(sketch(docs, words))
-    described = written(docs.mapInArrow(_describe(words, percent, counts), "doc_id long, n_shingles long, digest binary, bits binary, prefix binary"), "described")
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "text"), *T.StructType.fromDDL(DESCRIBED).fields])
+    described = written(docs.mapInArrow(_describe(words, percent, counts), schema), "described")
     present = described.where("digest is not null")
     nodes = written(present.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("held"), F.first("n_shingles").alias("size")), "nodes")
 
@@ -358,8 +363,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
     roots = components(links)
     drop(own, links)
 
-    placed = described.select("doc_id", "n_shingles", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    placed = described.select("doc_id", *carry, "n_shingles", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     placed = written(placed.withColumn("root", F.coalesce("root", "digest")).drop("digest"), "placed")
-    least = written(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least_ids")
     drop(described, nodes, roots)
-    return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return placed
