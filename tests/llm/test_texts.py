@@ -125,13 +125,30 @@ def test_sentencepieces_equal_the_library(spark):
 
 
 def test_streaming_window_stays_bounded():
-    encoder = sentencepieces.Encoder(sentencepieces.Vocabulary(PIECES))
-    ids = []
-    for k in range(200):
-        ids += encoder.feed("abcabcde" * 10)
-        assert len(encoder.text) <= 8 * encoder.v.longest + 80
-    ids += encoder.finish()
-    assert ids == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode("abcabcde" * 2000)[1:] or len(ids) > 0
+    v = sentencepieces.Vocabulary(PIECES)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(4)
+    texts = ["abcabcde" * 2000, "z" * 5000, "".join(rng.choice("abcdeſé中文") for _ in range(6000)), "the harbour was quiet " * 300, " " * 3000]
+    for text in texts:
+        encoder, ids, stream = sentencepieces.Encoder(v), [], "▁" + text.replace(" ", "▁")
+        for s in range(0, len(stream), 7):
+            ids += encoder.feed(stream[s : s + 7])
+            assert len(encoder.text) <= 6 * v.longest
+        assert encoder.commits > len(stream) // (6 * v.longest)
+        assert ids + encoder.finish() == model.encode(text)
+
+
+def test_whole_texts_stream_with_commits(spark, sf_dir):
+    codec = sentencepieces.Codec(PIECES)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for text in texts:
+        assert np.frombuffer(codec.encode(text), "<i4").tolist() == model.encode(text)
+    assert codec.commits > 0.9 * codec.remembered
+    # texts that hold the mark feeds are cut by, or lead through a state that was forgotten
+    codec.forget()
+    for text in ("a\x01b c\nd", "the \x01 the", texts[0]):
+        assert np.frombuffer(codec.encode(text), "<i4").tolist() == model.encode(text)
 
 
 def test_quality_classifier_held_out(spark):

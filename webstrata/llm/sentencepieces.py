@@ -3,35 +3,38 @@
 The models at hand rank merges, so a path through the lattice survives not by a
 sum but by its joints: two pieces may follow each other only if merging the
 characters of both ends in just these two. Then exactly one path survives at
-each position, and it is the model's own encoding of the text so far. The
-encoder keeps the backpointers of a window; once all paths from positions that a
-coming piece could still reach run through one boundary, the ids before it are
-final and leave. The window's width depends on the longest piece, not the text.
+each position, and it is the model's own encoding of the text so far. A text is
+one stream. The encoder keeps the backpointers of a window; a boundary is alive
+if what follows it may still become a piece, and once the paths of all living
+boundaries run through one, the ids before it are final and leave. The window's
+width depends on the longest piece, not the text.
+
+What is left after a commit, the window and the piece before it, is a state. A
+worker remembers where a state goes with the next few characters and which ids
+that commits, so a stream mostly walks an automaton that the lattice has built.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webstrata.llm.common import steps
-from webstrata.llm.memo import Memo
-from webstrata.llm.pieces import SEGMENT, SPACE
+from webstrata.llm.pieces import SPACE
 
-#: Segments longer than this are encoded each time rather than remembered; joints that a worker remembers.
-REMEMBERED_LENGTH, JOINTS = 64, 1_000_000
-#: Written between segments while texts are cut; texts that hold it are cut one by one.
-CUT = "\x01"
+#: Most characters that the encoder takes at once; longer feeds aren't remembered. Steps and joints that a worker remembers.
+FEED, STEPS, JOINTS = 64, 800_000, 1_000_000
+#: Feeds end after a space or a line break, where paths tend to converge; CUT is written there while a text is cut.
+FEEDS, CUT = re.compile(f"[^{SPACE}\n]*[{SPACE}\n]|[^{SPACE}\n]+"), "\x01"
 
 
 class Vocabulary:
@@ -56,9 +59,9 @@ class Vocabulary:
                 self.raw.append(text.replace(SPACE, " ").encode())
                 self.pieces[text], self.ranks[text] = i, model.get_score(i)
         self.longest = max(map(len, self.pieces))
+        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p))}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece of this vocabulary crosses a space")
-        self.breaks_join = any("\n" in p for p in self.pieces)
         self.joints: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         # where a piece could start: by its last two characters, the lengths of pieces that end so, longest first
@@ -101,6 +104,15 @@ class Vocabulary:
         return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if i is None else [i]
 
 
+class State:
+    """What a stream has left: the window since the last commit, and the piece before it if that still matters; where feeds have led from here."""
+
+    __slots__ = ("before", "text", "last", "steps")
+
+    def __init__(self, before: str | None, text: str, last: list[str | None]):
+        self.before, self.text, self.last, self.steps = before, text, last, {}
+
+
 class Encoder:
     """Encodes one stream of text, of which spaces are already written as in pieces."""
 
@@ -108,15 +120,15 @@ class Encoder:
         self.v = vocabulary
         self.text = ""  # the window
         self.last: list[str | None] = [None]  # the surviving path's last piece, at each boundary of the window
-        self.before: str | None = None  # the last piece that has left
+        self.before: str | None = None  # the last piece that has left, if a coming piece might merge with it
+        self.commits = 0
 
     def feed(self, text: str) -> list[int]:
         """Takes more text; gives the ids that became final."""
-        most, out = 4 * self.v.longest, []
-        for s in range(0, len(text), most):
-            self._extend(text[s : s + most])
-            if len(self.text) > most:
-                out += self._commit()
+        out = []
+        for s in range(0, len(text), FEED):
+            self._extend(text[s : s + FEED])
+            out += self._commit()
         return out
 
     def _extend(self, more: str) -> None:
@@ -158,20 +170,23 @@ class Encoder:
         return found
 
     def _commit(self) -> list[int]:
-        """Ids before the last boundary that all living paths share; a path lives if a coming piece can still reach its end."""
-        n = len(self.text)
-        alive = [e for e in range(max(1, n - self.v.longest + 1), n + 1) if self.last[e] is not None]
-        common = set(self._boundaries(alive[-1]))
-        for e in alive[:-1]:
+        """Ids before the last boundary that all living paths share; a path lives if what follows its end may become a piece."""
+        text, last, n, prefixes = self.text, self.last, len(self.text), self.v.prefixes
+        first = max(0, n - self.v.longest + 1)
+        alive = [e for e in range(first, n) if (last[e] is not None or not e) and text[e:n] in prefixes]
+        common = set(self._boundaries(n))
+        for e in alive:
             common &= set(self._boundaries(e))
-        at = max(common, default=0)
+        at = max(common)
+        self.commits += at > 0
         return self._leave(at) if at else []
 
     def _leave(self, at: int) -> list[int]:
         ends = self._boundaries(at)[::-1]
         pieces = [self.text[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        self.before = pieces[-1]
         self.text, self.last = self.text[at:], [None, *self.last[at + 1 :]]
+        # nothing merges across a space, nor with a character that is no piece
+        self.before = pieces[-1] if pieces[-1] in self.v.pieces and not self.text.startswith(SPACE) else None
         return [i for p in pieces for i in self.v.ids_of(p)]
 
     def finish(self) -> list[int]:
@@ -179,69 +194,61 @@ class Encoder:
         return self._leave(len(self.text)) if self.text else []
 
 
-def _joined(first: str, texts: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(pa.scalar(first, pa.large_string()), texts, pa.scalar("", pa.large_string()))
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
 
 
 class Codec:
-    """Encodes and decodes whole texts; segments between spaces are boundaries on which all paths converge, and are remembered."""
+    """Encodes and decodes whole texts. States and their steps are remembered; past STEPS steps a worker starts afresh."""
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        self.memo = Memo(self._encoded, 800_000)
         self.raw = np.array(self.v.raw, dtype=object)
+        self.commits = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.states: dict[tuple[str | None, str], State] = {}
+        self.remembered = 0
+        self.start = self.state(None, "", [None])
 
-    def stream(self, segment: str) -> list[int]:
+    def state(self, before: str | None, text: str, last: list[str | None]) -> State:
+        return self.states.setdefault((before, text), State(before, text, last))
+
+    def step(self, state: State, feed: str) -> tuple[bytes, State]:
+        """The ids that a feed commits, and the state it leads to."""
         encoder = Encoder(self.v)
-        return encoder.feed(segment) + encoder.finish()
+        encoder.before, encoder.text, encoder.last = state.before, state.text, list(state.last)
+        ids = packed(encoder.feed(feed))
+        self.commits += encoder.commits
+        if len(feed) > FEED or len(encoder.text) > FEED:
+            return ids, State(encoder.before, encoder.text, encoder.last)
+        state.steps[feed] = found = ids, self.state(encoder.before, encoder.text, encoder.last)
+        self.remembered += 1
+        return found
 
-    def _encoded(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [self.stream(s) for s in segments]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+    def rest(self, state: State) -> bytes:
+        encoder = Encoder(self.v)
+        encoder.before, encoder.text, encoder.last = state.before, state.text, list(state.last)
+        return packed(encoder.finish())
 
-    def encode(self, text: str) -> list[int]:
-        """One text's ids, segment by segment."""
+    def encode(self, text: str) -> bytes:
+        """A text's ids, as little-endian 32-bit numbers."""
         if not text:
-            return []
-        return [i for s in SEGMENT.findall(SPACE + text.replace(" ", SPACE)) for i in self.stream(s)]
-
-    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids in a row, and where each text's start."""
-        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), SPACE, " ")
-        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, CUT)).to_numpy(zero_copy_only=False)
-        # cut before each space, and around each line break: a break is no part of any piece, so paths converge there too
-        marked = pc.replace_substring(pc.replace_substring(texts, " ", CUT + SPACE), "\n", f"{CUT}\n{CUT}" if not self.v.breaks_join else "\n")
-        full = pc.greater(pc.binary_length(texts), 0)
-        parts = pc.split_pattern(pc.if_else(full, _joined(SPACE, marked), marked), CUT)
-        flat = parts.values.slice(parts.offsets[0].as_py(), parts.offsets[-1].as_py() - parts.offsets[0].as_py())
-        starts = (parts.offsets.to_numpy() - parts.offsets[0].as_py()).astype(np.int64)
-        lengths = pc.utf8_length(flat).to_numpy(zero_copy_only=False)
-        if len(flat):
-            odd |= np.add.reduceat(lengths > REMEMBERED_LENGTH, starts[:-1]) > 0
-        keep = (lengths > 0) & np.repeat(~odd, np.diff(starts))
-        before = np.concatenate([[0], np.cumsum(keep)])
-        ids, ends = self.memo.of(flat.filter(pa.array(keep)), before[starts])
-        if not odd.any():
-            return ids, ends
-        # texts with runs of spaces or long segments, one by one
-        each = [self._one(texts[i].as_py()) if odd[i] else ids[ends[i] : ends[i + 1]] for i in range(len(texts))]
-        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
-
-    def _one(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        segments = SEGMENT.findall(SPACE + text.replace(" ", SPACE))
-        short = [s for s in segments if len(s) <= REMEMBERED_LENGTH]
-        places = iter(self.memo.places(short) if short else ())
-        memo, out = self.memo, []
-        for s in segments:
-            if len(s) <= REMEMBERED_LENGTH:
-                p = next(places)
-                out.append(memo.flat[memo.firsts[p] : memo.firsts[p] + memo.sizes[p]])
-            else:
-                out.append(np.array(self.stream(s), np.int32))
-        return np.concatenate(out)
+            return b""
+        if self.remembered > STEPS:
+            self.forget()
+        text = SPACE + text.replace(" ", SPACE)
+        feeds = FEEDS.findall(text) if CUT in text else text.replace(SPACE, SPACE + CUT).replace("\n", "\n" + CUT).split(CUT)
+        out, state = [], self.start
+        for feed in feeds:
+            found = state.steps.get(feed)
+            if found is None:
+                found = self.step(state, feed)
+            ids, state = found
+            out.append(ids)
+        out.append(self.rest(state))
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, as UTF-8; the space that encoding put in front goes."""
@@ -258,12 +265,13 @@ def _encode(path: str, with_ids: bool, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in steps(batches):
-            ids, starts = own.encode_all(batch.column("text"))
             rows = []
-            for a, b, raw in zip(starts[:-1], starts[1:], batch.column("text").cast(pa.binary()).to_pylist()):
-                piece = ids[a:b].astype("<i4")
+            for raw in batch.column("text").cast(pa.binary()).to_pylist():
+                raw = raw or b""
+                ids = own.encode(raw.decode("utf-8", "replace"))
+                piece = np.frombuffer(ids, "<i4")
                 back = own.decode(piece)
-                rows.append((len(piece), zlib.crc32(piece.tobytes()), hashlib.sha256(back).hexdigest(), back == (raw or b""), piece if with_ids else None))
+                rows.append((len(piece), zlib.crc32(ids), hashlib.sha256(back).hexdigest(), back == raw, piece if with_ids else None))
             columns = dict(zip(out.names[1:], zip(*rows)))
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else batch.column(f.name) for f in out], schema=out)
 
