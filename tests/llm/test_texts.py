@@ -145,6 +145,8 @@ def test_whole_texts_stream_with_commits(spark, sf_dir):
     for text in texts:
         assert np.frombuffer(codec.encode(text), "<i4").tolist() == model.encode(text)
     assert codec.commits > 0.9 * codec.remembered
+    codec.forget()
+    assert [np.frombuffer(x, "<i4").tolist() for x in codec.encode_all(texts)] == [model.encode(t) for t in texts]
     # texts that hold the mark feeds are cut by, or lead through a state that was forgotten
     codec.forget()
     for text in ("a\x01b c\nd", "the \x01 the", texts[0]):

@@ -16,11 +16,15 @@ that commits, so a stream mostly walks an automaton that the lattice has built.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from webstrata.llm.common import steps
 from webstrata.llm.pieces import SPACE
 
 #: Most characters that the encoder takes at once; longer feeds aren't remembered. Steps and joints that a worker remembers.
-FEED, STEPS, JOINTS = 64, 800_000, 1_000_000
+FEED, STEPS, JOINTS = 64, 700_000, 1_000_000
 #: Feeds end after a space or a line break, where paths tend to converge; CUT is written there while a text is cut.
 FEEDS, CUT = re.compile(f"[^{SPACE}\n]*[{SPACE}\n]|[^{SPACE}\n]+"), "\x01"
 
@@ -60,13 +64,15 @@ class Vocabulary:
                 self.pieces[text], self.ranks[text] = i, model.get_score(i)
         self.longest = max(map(len, self.pieces))
         self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p))}
+        self.inner = {c for p in self.pieces for c in p[1:]}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece of this vocabulary crosses a space")
         self.joints: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        # pieces that merging their own characters ends in; no other can stand in a path
+        self.whole = {p for p in self.pieces if len(p) > 1 and self.merged(p) == [p]}
         # where a piece could start: by its last two characters, the lengths of pieces that end so, longest first
         self.lengths: dict[str, list[int]] = {}
-        for end, n in sorted({(p[-2:], len(p)) for p in self.pieces if len(p) > 1}, reverse=True):
+        for end, n in sorted({(p[-2:], len(p)) for p in self.whole}, reverse=True):
             self.lengths.setdefault(end, []).append(n)
 
     def merged(self, text: str) -> list[str]:
@@ -92,13 +98,6 @@ class Vocabulary:
             ok = self.joints[key] = self.merged(left + right) == [left, right]
         return ok
 
-    def reachable(self, piece: str) -> bool:
-        """Whether merging the piece's characters ends in the piece."""
-        ok = self.whole.get(piece)
-        if ok is None:
-            ok = self.whole[piece] = self.merged(piece) == [piece]
-        return ok
-
     def ids_of(self, piece: str) -> list[int]:
         i = self.pieces.get(piece)
         return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if i is None else [i]
@@ -107,10 +106,10 @@ class Vocabulary:
 class State:
     """What a stream has left: the window since the last commit, and the piece before it if that still matters; where feeds have led from here."""
 
-    __slots__ = ("before", "text", "last", "steps")
+    __slots__ = ("before", "text", "last", "steps", "older")
 
     def __init__(self, before: str | None, text: str, last: list[str | None]):
-        self.before, self.text, self.last, self.steps = before, text, last, {}
+        self.before, self.text, self.last, self.steps, self.older = before, text, last, {}, {}
 
 
 class Encoder:
@@ -135,23 +134,24 @@ class Encoder:
         """For each new boundary, the one piece that may end there."""
         v, text, last = self.v, self.text + more, self.last
         pieces, lengths, joints, whole, before, none = v.pieces, v.lengths, v.joints, v.whole, self.before, ()
+        first = before is None
         for end in range(len(self.text) + 1, len(text) + 1):
             found = None
             for n in lengths.get(text[end - 2 : end], none) if end > 1 else none:
                 start = end - n
-                if start < 0:
-                    continue
-                piece = text[start:end]
-                if piece not in pieces:
-                    continue
-                left = last[start] if start else before
-                if left is None and (start or before is not None):
-                    continue
-                if not (whole.get(piece) or v.reachable(piece)):
-                    continue
-                if left is None or joints.get((left, piece)) or v.joint(left, piece):
-                    found = piece
-                    break
+                if start > 0:
+                    left = last[start]
+                    if left is None:
+                        continue
+                    piece = text[start:end]
+                    if piece in whole and (joints.get((left, piece)) or v.joint(left, piece)):
+                        found = piece
+                        break
+                elif not start:
+                    piece = text[:end]
+                    if piece in whole and (first or v.joint(before, piece)):
+                        found = piece
+                        break
             else:
                 # the character itself; one that is no piece stands for its bytes, and nothing merges with it
                 c = text[end - 1]
@@ -161,33 +161,43 @@ class Encoder:
             last.append(found)
         self.text = text
 
-    def _boundaries(self, end: int) -> list[int]:
-        found = [end]
-        while end > 0:
-            piece = self.last[end]
-            end -= len(piece)
-            found.append(end)
-        return found
-
     def _commit(self) -> list[int]:
         """Ids before the last boundary that all living paths share; a path lives if what follows its end may become a piece."""
-        text, last, n, prefixes = self.text, self.last, len(self.text), self.v.prefixes
-        first = max(0, n - self.v.longest + 1)
-        alive = [e for e in range(first, n) if (last[e] is not None or not e) and text[e:n] in prefixes]
-        common = set(self._boundaries(n))
+        text, last, n, prefixes, inner = self.text, self.last, len(self.text), self.v.prefixes, self.v.inner
+        alive = []
+        for e in range(n - 1, max(0, n - self.v.longest + 1) - 1, -1):
+            if (last[e] is not None or not e) and text[e:] in prefixes:
+                alive.append(e)
+            if text[e] not in inner:
+                break
+        shared, e = {n}, n  # boundaries of the path that ends here
+        while e > 0:
+            e -= len(last[e])
+            shared.add(e)
+        at = n
         for e in alive:
-            common &= set(self._boundaries(e))
-        at = max(common)
+            while e not in shared:
+                e -= len(last[e])
+            at = min(at, e)
         self.commits += at > 0
         return self._leave(at) if at else []
 
     def _leave(self, at: int) -> list[int]:
-        ends = self._boundaries(at)[::-1]
-        pieces = [self.text[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        self.text, self.last = self.text[at:], [None, *self.last[at + 1 :]]
+        last, known, pieces, e = self.last, self.v.pieces, [], at
+        while e > 0:
+            pieces.append(last[e])
+            e -= len(last[e])
+        self.text, self.last = self.text[at:], [None, *last[at + 1 :]]
         # nothing merges across a space, nor with a character that is no piece
-        self.before = pieces[-1] if pieces[-1] in self.v.pieces and not self.text.startswith(SPACE) else None
-        return [i for p in pieces for i in self.v.ids_of(p)]
+        self.before = pieces[0] if pieces[0] in known and not self.text.startswith(SPACE) else None
+        out = []
+        for p in reversed(pieces):
+            i = known.get(p)
+            if i is None:
+                out += self.v.ids_of(p)
+            else:
+                out.append(i)
+        return out
 
     def finish(self) -> list[int]:
         """The rest of the ids."""
@@ -195,11 +205,14 @@ class Encoder:
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<i4").tobytes()
+    own = array("i", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
 
 
 class Codec:
-    """Encodes and decodes whole texts. States and their steps are remembered; past STEPS steps a worker starts afresh."""
+    """Encodes and decodes whole texts. States and their steps are remembered; past STEPS steps those go that weren't taken since the last time."""
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
@@ -213,7 +226,10 @@ class Codec:
         self.start = self.state(None, "", [None])
 
     def state(self, before: str | None, text: str, last: list[str | None]) -> State:
-        return self.states.setdefault((before, text), State(before, text, last))
+        found = self.states.get((before, text))
+        if found is None:
+            found = self.states[before, text] = State(before, text, last)
+        return found
 
     def step(self, state: State, feed: str) -> tuple[bytes, State]:
         """The ids that a feed commits, and the state it leads to."""
@@ -223,33 +239,75 @@ class Codec:
         self.commits += encoder.commits
         if len(feed) > FEED or len(encoder.text) > FEED:
             return ids, State(encoder.before, encoder.text, encoder.last)
-        state.steps[feed] = found = ids, self.state(encoder.before, encoder.text, encoder.last)
-        self.remembered += 1
+        found = ids, self.state(encoder.before, encoder.text, encoder.last)
+        self.remember(state, feed, found)
         return found
 
+    def remember(self, state: State, feed: str, found: tuple[bytes, State]) -> None:
+        state.steps[feed] = found
+        self.remembered += 1
+        if self.remembered > STEPS:
+            self.remembered = 0
+            for s in self.states.values():
+                s.older, s.steps = s.steps, {}
+            # states that neither generation has a step from or leads to are few: one for each piece before a cut
+            if len(self.states) > STEPS:
+                self.states = {(state.before, state.text): state, (None, ""): self.start}
+
+    def learn(self, state: State, feeds: Iterable[str]) -> None:
+        """Steps of many feeds from one state. In order, each takes over the lattice of what it shares with the one before."""
+        encoder, base, text, last = Encoder(self.v), len(state.text), "", list(state.last)
+        for feed in sorted(f for f in feeds if len(f) <= FEED and f not in state.steps and f not in state.older):
+            same = 0
+            for a, b in zip(text, feed):
+                if a != b:
+                    break
+                same += 1
+            encoder.before, encoder.text, encoder.last = state.before, state.text + feed[:same], last[: base + same + 1]
+            encoder._extend(feed[same:])
+            text, last = feed, encoder.last
+            ids = packed(encoder._commit())
+            self.remember(state, feed, (ids, self.state(encoder.before, encoder.text, encoder.last)))
+        self.commits += encoder.commits
+
     def rest(self, state: State) -> bytes:
         encoder = Encoder(self.v)
         encoder.before, encoder.text, encoder.last = state.before, state.text, list(state.last)
         return packed(encoder.finish())
 
-    def encode(self, text: str) -> bytes:
-        """A text's ids, as little-endian 32-bit numbers."""
+    def feeds(self, text: str) -> list[str]:
         if not text:
-            return b""
-        if self.remembered > STEPS:
-            self.forget()
+            return []
         text = SPACE + text.replace(" ", SPACE)
-        feeds = FEEDS.findall(text) if CUT in text else text.replace(SPACE, SPACE + CUT).replace("\n", "\n" + CUT).split(CUT)
+        return FEEDS.findall(text) if CUT in text else text.replace(SPACE, SPACE + CUT).replace("\n", "\n" + CUT).split(CUT)
+
+    def stream(self, feeds: list[str]) -> bytes:
+        """The ids of a text's feeds, as little-endian 32-bit numbers."""
         out, state = [], self.start
         for feed in feeds:
             found = state.steps.get(feed)
             if found is None:
-                found = self.step(state, feed)
+                found = state.older.get(feed)
+                if found is None:
+                    found = self.step(state, feed)
+                else:
+                    self.remember(state, feed, found)
             ids, state = found
             out.append(ids)
         out.append(self.rest(state))
         return b"".join(out)
 
+    def encode(self, text: str) -> bytes:
+        """A whole text's ids."""
+        return self.stream(self.feeds(text))
+
+    def encode_all(self, texts: Sequence[str]) -> Iterator[bytes]:
+        """Each text's ids; most feeds follow a space, so those that are new there are learned together."""
+        gc.freeze()  # what is remembered holds no cycles; the collector needn't walk it again and again
+        fed = [self.feeds(t) for t in texts]
+        self.learn(self.state(None, SPACE, [None, SPACE]), set(chain.from_iterable(fed)))
+        return map(self.stream, fed)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, as UTF-8; the space that encoding put in front goes."""
         raw = b"".join(self.raw[ids].tolist())
@@ -266,9 +324,8 @@ def _encode(path: str, with_ids: bool, out: pa.Schema):
         own = codec(path)
         for batch in steps(batches):
             rows = []
-            for raw in batch.column("text").cast(pa.binary()).to_pylist():
-                raw = raw or b""
-                ids = own.encode(raw.decode("utf-8", "replace"))
+            raws = [raw or b"" for raw in batch.column("text").cast(pa.binary()).to_pylist()]
+            for raw, ids in zip(raws, own.encode_all([raw.decode("utf-8", "replace") for raw in raws])):
                 piece = np.frombuffer(ids, "<i4")
                 back = own.decode(piece)
                 rows.append((len(piece), zlib.crc32(ids), hashlib.sha256(back).hexdigest(), back == raw, piece if with_ids else None))
