@@ -225,7 +225,7 @@ def test_secret_scan_names_and_addresses():
         spans = [s for s, _ in secret_scan.learned_spans(text, secret_scan.base_spans(text), scorer)]
         assert spans and all(k == "learned" for _, _, k in spans) and value not in secret_scan.redacted(text, spans, "[X]"), text
     text = "0123456789abcdef" * 2 + "/" + token
-    assert [text[a:b] for (a, b, _), _ in secret_scan.learned_spans(text, secret_scan.base_spans(text), scorer)] == ["/" + token]
+    assert [text[a:b] for (a, b, _), _ in secret_scan.learned_spans(text, secret_scan.base_spans(text), scorer)] == [token]
     assert not secret_scan.learned_spans("www.example.com/some/path/of12/words345/page.html", [], scorer)
 
 
@@ -236,3 +236,39 @@ def test_license_scan_of_wrapped_notices(spark):
     rows = [(1, gpl), (2, bsd), (3, mit), (4, "The following conditions of the licence were discussed at the meeting.")]
     got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(odd(rows), SCHEMA), model=license_scan.fit(spark, 90)).collect()}
     assert {i: r.families for i, r in got.items()} == {1: "gpl", 2: "bsd", 3: "mit", 4: ""}
+
+
+def test_automata_lose_no_transition():
+    for each in (30, 120):
+        kinds = {}
+        for kind, text in automata.labelled(each, 5):
+            kinds.setdefault(kind, []).append(text)
+        for sample in kinds.values():
+            a = automata.infer(sample)
+            assert all(set(s.logs) == set(s.goes) and set(s.class_logs) == set(s.class_goes) for s in a.states)
+            assert all(0 <= t < len(a.states) for s in a.states for t in [*s.goes.values(), *s.class_goes.values()])
+            for text in sample:  # what was learned can be read without a step that no example took
+                at = 0
+                for c in text:
+                    at = a.states[at].goes[c]
+    assert len(automata.infer(["ab"] * 50 + ["cd"] * 50).states) > 1
+
+
+def test_secret_scan_by_format_and_on_harmless_strings():
+    scorer = secret_scan.default_scorer()
+    found, n = Counter(), Counter()
+    for kind, text in automata.labelled(100, 4321):
+        n[kind] += 1
+        found[kind] += bool(secret_scan.learned_spans(text, [], scorer))
+    assert found["harmless"] <= 0.003 * n["harmless"]
+    assert all(found[k] >= 0.7 * n[k] for k in automata.FORMATS) and sum(found[k] for k in automata.FORMATS) >= 0.9 * sum(n[k] for k in automata.FORMATS)
+    for text in ("/2023/11/05/some-article-title-about-things-1234567", "DSC00123_IMG_20231105_123456", "550e8400-e29b-41d4-a716-446655440000", "/v1/users/12345/orders/67890", "cdn.example.com/assets/js/app.3f2a1b.min.js", "Donaudampfschifffahrtsgesellschaftskapitän", "=" * 40):
+        assert not secret_scan.learned_spans(text, secret_scan.base_spans(text), scorer), text
+    assert secret_scan.learned_spans("xK" * 14 + "QwErTyUiOp" + "+/zZ", [], scorer)  # no digit is needed
+
+
+def test_values_of_assignments_are_scored(spark):
+    rows = [(1, "password = ghp_aB3dE5gH7jK9mN1pQ3sT5vW7xY9zA1cD3eF5"), (2, "password: changeme")]
+    got = {r.doc_id: r.best_score for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] > secret_scan.default_scorer().least > got[2]
+    assert secret_scan.secret_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

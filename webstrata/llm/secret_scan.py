@@ -25,9 +25,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.I | re.A)
-#: Runs that may be a credential of an unlisted format: long enough, and with a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
-DIGIT = re.compile(r"[0-9]")
+#: Runs that may be or hold a credential of an unlisted format; those shorter than the shortest example of any format are none.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: Where a run may be a name and a value, an address, or words; most characters of several segments that are read as one (a longer one by its stretches).
 VALUE, SEGMENT, WORD, BREADTH = re.compile(r"="), re.compile(r"[=/]"), re.compile(r"[=/.+_-]"), 256
 #: Examples of each credential format that the automata are fitted on; as many again set the threshold.
@@ -38,7 +37,7 @@ Span = tuple[int, int, str]
 
 @lru_cache(maxsize=2)
 def default_scorer(examples: int = EXAMPLES) -> Scorer:
-    return fit(labelled(examples, 1), labelled(examples, 2))
+    return fit(labelled(examples, 1), labelled(examples, 2), parts=lambda text: [text[a:b] for a, b in {trimmed(text, 0, len(text)), *parts(text, 0, len(text))}])
 
 
 def base_spans(text: str) -> list[Span]:
@@ -52,6 +51,11 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def value_of(text: str, start: int, end: int, kind: str) -> str:
+    """What a base span holds as a credential: of an assignment the value."""
+    return ASSIGN.match(text, start, end)[2] if kind == "assign" else text[start:end]
+
+
 def trimmed(text: str, start: int, end: int, marks: str = ".=-") -> tuple[int, int]:
     """The bounds without marks at the ends."""
     while start < end and text[start] in marks:
@@ -61,10 +65,15 @@ def trimmed(text: str, start: int, end: int, marks: str = ".=-") -> tuple[int, i
     return start, end
 
 
-def pieces(text: str, base: Sequence[Span]) -> Iterator[tuple[int, int]]:
+@lru_cache(maxsize=8)
+def runs_of(shortest: int) -> re.Pattern:
+    return re.compile(f"{RUN.pattern[:-1]}{{{shortest},}}")
+
+
+def pieces(text: str, base: Sequence[Span], shortest: int) -> Iterator[tuple[int, int]]:
     """What of each candidate run lies beside the base spans."""
     sorted_base, k = sorted((a, b) for a, b, _ in base), 0
-    for m in CANDIDATE.finditer(text):
+    for m in runs_of(shortest).finditer(text):
         at, end = m.span()
         while k < len(sorted_base) and sorted_base[k][0] < end:
             a, b = sorted_base[k]
@@ -98,23 +107,23 @@ def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 def learned_spans(text: str, base: Sequence[Span], scorer: Scorer) -> list[tuple[Span, float]]:
     """Other candidates that the automata score as credentials, beside the base spans: a whole run, or else the longest of its parts."""
-    out = []
+    out, shortest = [], scorer.shortest
 
     def taken(start: int, end: int) -> bool:
-        if end - start < 20 or not DIGIT.search(text, start, end):
+        if end - start < shortest:
             return False
         score, _ = scorer.score(text[start:end])
         if score >= scorer.least:
             out.append(((start, end, "learned"), score))
         return score >= scorer.least
 
-    for run in pieces(text, base):
+    for run in pieces(text, base, shortest):
         whole = trimmed(text, *run)
-        if whole[1] - whole[0] < 20 or not DIGIT.search(text, *whole) or taken(*whole):
+        if whole[1] - whole[0] < shortest or taken(*whole):
             continue
         found = bytearray(run[1] - run[0])  # the longest come first, so what overlaps a found part has an end in it
         for a, b in parts(text, *run):
-            if b - a < 20:
+            if b - a < shortest:
                 break
             x, y = a - run[0], b - run[0]
             if (a, b) != whole and not found[x] and not found[y - 1] and taken(a, b):
@@ -152,7 +161,7 @@ def _scan(scorer: Scorer, mask: str | None, out: pa.Schema):
                 more = learned_spans(text, base, scorer)
                 spans = base + [s for s, _ in more]
                 n = [sum(s[2] == k for s in spans) for k in KINDS]
-                scores = [scorer.score(text[a:b])[0] for a, b, k in base if k != "assign"] + [x for _, x in more]
+                scores = [scorer.score(value_of(text, *s))[0] for s in base] + [x for _, x in more]
                 rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), max(scores, default=None), redacted(text, spans, mask) if mask is not None and raw is not None else None))
             columns = dict(zip(OWN.names, zip(*rows)))
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else batch.column(f.name) for f in out], schema=out)

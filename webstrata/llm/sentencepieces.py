@@ -36,7 +36,7 @@ from webstrata.llm.common import steps
 from webstrata.llm.pieces import SPACE
 
 #: Most characters that the encoder takes at once; longer feeds aren't remembered. Steps and joints that a worker remembers.
-FEED, STEPS, JOINTS = 64, 700_000, 1_000_000
+FEED, STEPS, JOINTS = 64, 1_000_000, 1_000_000
 #: Feeds end after a space or a line break, where paths tend to converge; CUT is written there while a text is cut.
 FEEDS, CUT = re.compile(f"[^{SPACE}\n]*[{SPACE}\n]|[^{SPACE}\n]+"), "\x01"
 
