@@ -272,3 +272,39 @@ def test_values_of_assignments_are_scored(spark):
     got = {r.doc_id: r.best_score for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] > secret_scan.default_scorer().least > got[2]
     assert secret_scan.secret_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_license_bound_leaves_the_whole_classifier_unchanged(spark, sf_dir):
+    model = license_scan.fit(spark, 90)
+    lines = [x for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() for x in r.text.split("\n")][:1500]
+    lines += [w for _, w in examples(20, 5)] + ["BSD-3-Clause", "© 2021 Foo GmbH. All rights reserved.", "This file is provided under the MIT License, see LICENSE.", ""]
+    table = license_scan.literal_rows(spark, [(str(i), t) for i, t in enumerate(lines)], ("i", "t")).repartition(4)
+    table = table.withColumn("w", license_scan.words_of(license_scan.F.col("t"))).withColumn("possible", model.possible(license_scan.F.col("w"))).withColumn("license_grams", license_scan.ngrams_of(license_scan.F.col("w"), 3))
+    named = {int(r.i): (r.possible, r.family, r.probability) for r in model.classified(table, "license_grams").select("i", "possible", "family", "probability").collect()}
+    # the classifier in plain Python
+    weights, intercepts = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    place = {g: k for k, g in enumerate(model.vectors.vocabulary)}
+    for i, line in enumerate(lines):
+        words = re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", line.lower())
+        grams = {place[g] for n in (1, 2, 3) for k in range(len(words) - n + 1) if (g := " ".join(words[k : k + n])) in place}
+        raw = (intercepts + weights[:, sorted(grams)].sum(axis=1)) / model.temperature
+        p = np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+        family = model.families[int(p.argmax())] if p.max() >= license_scan.LIKELY else "unknown"
+        assert named[i][1] == family and abs(named[i][2] - p.max()) < 1e-9, line
+        assert named[i][0] or family == "unknown", line
+    assert sum(x[0] for x in named.values()) < len(lines) // 3, sum(x[0] for x in named.values())
+
+
+def test_license_notices_in_own_words(spark):
+    rows = [
+        (1, "Some text first.\nBSD-3-Clause\nAnd more."),
+        (2, "© 2021 Foo GmbH. All rights reserved."),
+        (3, "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction, including without limitation the rights\n * to use, copy, modify and merge it.\n */"),
+        (4, "The library opens at nine.\nAll rooms were reserved.\n\n"),
+        (5, "// SPDX-License-Identifier: Apache-2.0"),
+        (6, "word\n" * 3000),
+    ]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(odd(rows), SCHEMA), model=license_scan.fit(spark, 240)).collect()}
+    assert {i: r.families for i, r in got.items()} == {1: "bsd", 2: "proprietary", 3: "mit", 4: "", 5: "apache", 6: ""}
+    assert (got[1].n_candidates, got[4].n_candidates) == (3, 2)
+    assert license_scan.license_scan(spark.createDataFrame([], SCHEMA), model=license_scan.fit(spark, 30)).count() == 0

@@ -5,6 +5,11 @@ trained on paragraphs made from public licence wording and on a class of others;
 its probabilities are calibrated by a temperature fitted on paragraphs that it
 hasn't seen, and a family that isn't likely enough is unknown. A named family
 counts once the paragraph covers enough of one of its templates.
+
+Every paragraph is classified. As the model is sparse, most are by a bound: each
+n-gram's gain for a family is booked on one of its words, so a paragraph whose
+words can't lift any family over the unknown class is unknown whatever its
+n-grams, which then needn't be made.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm.license_texts import TEMPLATES, UNKNOWN, examples
+from webstrata.llm.license_texts import IDENTIFIERS, TEMPLATES, UNKNOWN, examples
 
 #: Paragraphs of each family for training (three times as many of none); as many again, otherwise drawn, for calibration.
 EXAMPLES, VOCABULARY = 240, 6000
@@ -26,8 +31,14 @@ EXAMPLES, VOCABULARY = 240, 6000
 LIKELY, COVERED = 0.5, 0.6
 #: A paragraph counts as of so many n-grams at least (eight words have 15), so that a few common words don't confirm a family.
 LEAST = 16
-#: Every licence notice holds one of these; a paragraph without them isn't handed to the classifier.
-CUES = r"(?i)licen[cs]|copyright|rights reserved|permission|permitted|redistribut|warrant|public domain|creative commons|CC0|CC BY|CC-BY|GPL|MPL|written|disclaimer|the software"
+#: A line break within a sentence, and marks of a comment before the next line: what was wrapped is one paragraph. It stands after a letter, digit, comma
+#: or bracket and before a lower-case letter, bracket or quote, or between capitals.
+WRAPPED = r"""(?<=[\p{Ll}\p{N},;"')-])[ \t\r]*\n[ \t*#/;]*(?=[\p{Ll}("'])|(?<=\p{Lu}[\p{Lu},])[ \t\r]*\n[ \t*#/;]*(?=\p{Lu}\p{Lu})"""
+
+
+def paragraphs_of(text: Column) -> Column:
+    """A text's lines, those wrapped in a sentence joined, without blank ones."""
+    return F.filter(F.split(F.regexp_replace(text, WRAPPED, " "), "\n"), lambda x: x.rlike(r"\S"))
 
 
 def words_of(text: Column) -> Column:
@@ -58,6 +69,31 @@ class Model:
     families: list[str]
     temperature: float
 
+    def evidence(self) -> tuple[dict[str, list[float]], list[float]]:
+        """Per word the most that it, and n-grams booked on it, add to each family's lead over unknown; and those leads without any."""
+        weights, start = self.regression.coefficientMatrix.toArray(), self.regression.interceptVector.toArray()
+        u = self.families.index(UNKNOWN)
+        others = [f for f in range(len(self.families)) if f != u]
+        leads = weights[others] - weights[u]
+        own: dict[str, list[float]] = {}
+        for i, gram in enumerate(self.vectors.vocabulary):
+            words = gram.split(" ")
+            # a word's own weight counts as it is; a longer n-gram needn't be there, so only what it adds does
+            most = leads[:, i] if len(words) == 1 else leads[:, i].clip(min=0)
+            if most.any():
+                word = max(words, key=lambda w: (len(w), w))  # long words are rare
+                own[word] = (most + own.get(word, 0.0)).tolist()
+        return own, (start[others] - start[u]).tolist()
+
+    def possible(self, words: Column) -> Column:
+        """Whether a paragraph of these words may be named; if not, it is unknown."""
+        own, leads = self.evidence()
+        if not own:
+            return F.lit(max(leads) >= 0)
+        weight = F.create_map(*(x for word, most in own.items() for x in (F.lit(word), F.lit(most))))
+        most = F.aggregate(F.array_intersect(words, F.lit(list(own))), F.lit(leads), lambda total, w: F.zip_with(total, F.element_at(weight, w), lambda x, y: x + y))
+        return F.array_max(most) >= -1e-6
+
     def classified(self, paragraphs: DataFrame, grams: str) -> DataFrame:
         """Adds family and probability from the n-grams column; family is unknown below LIKELY."""
         out = self.regression.transform(self.vectors.transform(paragraphs.withColumnRenamed(grams, self.vectors.getInputCol())))
@@ -91,7 +127,7 @@ def coverage(grams: Column, family: Column) -> Column:
     best = F.lit(0.0)
     for name, texts in TEMPLATES.items():
         shares = []
-        for text in texts:
+        for text in texts + IDENTIFIERS.get(name, []):
             template = ngrams_of(words_of(F.lit(text)), 2)
             shares.append(F.size(F.array_intersect(grams, template)) / F.greatest(F.least(F.size(template), F.greatest(F.size(grams), F.lit(LEAST))), F.lit(1)))
         best = F.when(family == name, F.greatest(*shares, F.lit(0.0))).otherwise(best)
@@ -99,30 +135,30 @@ def coverage(grams: Column, family: Column) -> Column:
 
 
 def license_scan(docs: DataFrame, *, model: Model | None = None) -> DataFrame:
-    """The licences that each document's paragraphs (its lines) state.
+    """The licences that each document's paragraphs state.
 
-    Takes `doc_id` and `text`, ignores other columns. Returns doc_id, n_candidates (paragraphs that the classifier saw),
-    n_licensed (of them named and confirmed), n_unconfirmed (named, but not like a template), families (distinct confirmed ones,
-    sorted, comma-joined) and best_probability (of a confirmed one, else null).
-    Defined for odd inputs: a null, empty or blank text has no candidate and counts of 0; repeated rows are scanned one by one;
+    A paragraph is a line, or several that were wrapped within a sentence. Takes `doc_id` and `text`, ignores other columns.
+    Returns doc_id, n_candidates (paragraphs, all classified), n_licensed (of them named and confirmed), n_unconfirmed (named, but
+    not like a template), families (distinct confirmed ones, sorted, comma-joined) and best_probability (of a confirmed one, else null).
+    Defined for odd inputs: a null, empty or blank text has no paragraph and counts of 0; repeated rows are scanned one by one;
     doc_id may be null. An empty table gives an empty one.
     """
     model = model or fit(docs.sparkSession)
-    docs = docs.select(F.monotonically_increasing_id().alias("license_row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # whole texts without a cue keep one empty row, so that each document comes out
-    lines = F.when(F.col("text").rlike(CUES), F.filter(F.split("text", "\n"), lambda x: x.rlike(CUES))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select("license_row", "doc_id", F.explode_outer(lines).alias("paragraph"))
+    docs = docs.select(F.monotonically_increasing_id().alias("license_row"), "doc_id", paragraphs_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("paragraphs"))
+    # of the paragraphs that the bound leaves n-grams are made; each document keeps one empty row at least, so that it comes out
+    possible = F.filter("paragraphs", lambda p: model.possible(words_of(p)))
+    rows = docs.select("license_row", "doc_id", F.size("paragraphs").alias("n"), F.explode_outer(possible).alias("paragraph"))
     rows = rows.withColumn("license_words", words_of(F.coalesce("paragraph", F.lit(""))))
-    rows = rows.select("license_row", "doc_id", F.col("paragraph").isNotNull().alias("candidate"), ngrams_of(F.col("license_words"), 3).alias("license_grams"))
+    rows = rows.select("license_row", "doc_id", "n", F.col("paragraph").isNotNull().alias("candidate"), ngrams_of(F.col("license_words"), 3).alias("license_grams"))
     named = model.classified(rows, "license_grams")
     grams = F.filter("license_grams", lambda g: F.size(F.split(g, " ")) <= 2)
-    named = named.select("license_row", "doc_id", "candidate", "probability", F.when(F.col("candidate"), F.col("family")).otherwise(UNKNOWN).alias("family"), grams.alias("short"))
+    named = named.select("license_row", "doc_id", "n", "probability", F.when(F.col("candidate"), F.col("family")).otherwise(UNKNOWN).alias("family"), grams.alias("short"))
     named = named.withColumn("confirmed", (F.col("family") != UNKNOWN) & (coverage(F.col("short"), F.col("family")) >= COVERED))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     return (
         named.groupBy("license_row", "doc_id")
         .agg(
-            one(F.col("candidate")).alias("n_candidates"),
+            F.max("n").cast("long").alias("n_candidates"),
             one(F.col("confirmed")).alias("n_licensed"),
             one((F.col("family") != UNKNOWN) & ~F.col("confirmed")).alias("n_unconfirmed"),
             F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),

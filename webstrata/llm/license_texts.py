@@ -70,6 +70,18 @@ TEMPLATES: dict[str, list[str]] = {
         "No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher.",
     ],
 }
+#: Identifiers that name a licence by themselves, by family. They confirm a paragraph and aren't trained on.
+IDENTIFIERS: dict[str, list[str]] = {
+    "apache": ["Apache-2.0", "Apache 2.0"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "cc-by": ["CC-BY-4.0", "CC BY 4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0", "CC BY-NC 4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0", "CC BY-SA 4.0"],
+    "cc0": ["CC0-1.0", "CC0 1.0"],
+    "gpl": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "lgpl": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "mpl": ["MPL-2.0"],
+}
 #: Sentences with the same words that grant nothing.
 OTHERS = [
     "His driving licence was renewed after the medical examination.",
