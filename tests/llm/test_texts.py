@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -308,3 +309,37 @@ def test_license_notices_in_own_words(spark):
     assert {i: r.families for i, r in got.items()} == {1: "bsd", 2: "proprietary", 3: "mit", 4: "", 5: "apache", 6: ""}
     assert (got[1].n_candidates, got[4].n_candidates) == (3, 2)
     assert license_scan.license_scan(spark.createDataFrame([], SCHEMA), model=license_scan.fit(spark, 30)).count() == 0
+
+
+def brute_rules(rows, support, confidence, lift, most):
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    kept = {}
+    sets = {c for t, b in rows if b for k in range(1, most + 1) for c in itertools.combinations(sorted(set(t)), k)}
+    for own in sorted(sets, key=lambda c: (len(c), c)):
+        cover = [b for t, b in rows if set(own) <= set(t)]
+        share = sum(cover) / len(cover)
+        if sum(cover) < support * n or share < confidence or share < lift * base:
+            continue
+        if not any(p in kept and kept[p][0] >= share - url_filter.GAIN for k in range(1, len(own)) for p in itertools.combinations(own, k)):
+            kept[own] = (share, sum(cover) / n)
+    return kept
+
+
+def test_mining_against_brute_force(spark):
+    rng = random.Random(21)
+    for common, bad in (("abcdef", "ab"), ("abcd", "c")):
+        rows = []
+        for _ in range(400):
+            t = [x for x in common if rng.random() < 0.5] + [rng.choice("uvwxyz")] * rng.randint(0, 2)
+            rows.append((t, set(bad) <= set(t) and rng.random() < 0.97 or "u" in t and rng.random() < 0.93 or rng.random() < 0.05))
+        table = spark.createDataFrame([*rows, (["a", "u"], None), (None, True), ([], False)], "tokens array<string>, blocked boolean")
+        got = url_filter.mine(table.where("tokens is not null"), support=0.02, confidence=0.85)
+        want = brute_rules([*rows, ([], False)], 0.02, 0.85, url_filter.LIFT, url_filter.TOKENS)
+        assert {m.tokens: (round(m.confidence, 9), round(m.support, 9)) for m in got} == {k: (round(a, 9), round(b, 9)) for k, (a, b) in want.items()} and want
+
+
+def test_mining_of_long_urls_with_many_common_tokens(spark):
+    path = "/".join(f"part{chr(97 + i)}" for i in range(40))
+    rows = [(i, f"https://a.b.c.d{i % 7}.com/en/{path}") for i in range(60)] + [(100 + i, f"https://b{i}.net/de/x") for i in range(60)] + [(200, f"https://c.info/en/{path}"), (200, f"https://c.info/en/{path}"), (201, "https://c.info/" + "z" * 50_000), (202, None)]
+    got = [(r.page_id, r.verdict) for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).where("page_id >= 200").orderBy("page_id").collect()]
+    assert got == [(200, "block"), (200, "block"), (201, "allow"), (202, "allow")]

@@ -1,7 +1,7 @@
 """URL filters: host-and-path rules first, then association rules mined by FP-growth from the URLs that those rules label.
 
-A URL is a small set of tokens: host suffixes, host labels, path segments by
-place, extension, query keys. FP-growth mines token combinations that go along
+A URL is a set of tokens: host suffixes, its first host label, path segments by
+place, query keys. FP-growth mines token combinations that go along
 with the class of blocked URLs; rules with enough confidence, support and lift
 are kept, without those that a shorter one implies. They are matched through an
 inverted index from token to rules, inside the scan: no shuffle, no Python.
@@ -50,6 +50,8 @@ class Mined:
 #: Least share of the labelled URLs that a mined rule covers, least share of those that are blocked, least gain over the labelled URLs' own share;
 #: most tokens of a rule. Support bounds the number of rules, and so the index.
 SUPPORT, CONFIDENCE, LIFT, TOKENS = 0.002, 0.9, 1.2, 3
+#: How much a longer rule's confidence has to gain on that of a part of it.
+GAIN = 0.02
 #: Longest word of a path segment or query key that is a token as it is; a longer one is named by its hash.
 LONGEST = 40
 BLOCKED = "class=block"
@@ -92,7 +94,7 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     """The URL's distinct tokens."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(3))), lambda k: F.concat(F.lit("host="), F.array_join(F.slice(labels, n - k + 1, k), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("host="), F.array_join(F.slice(labels, n - k + 1, k), ".")))
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     named = lambda s: F.when(F.length(s) <= LONGEST, s).otherwise(F.concat(F.lit("sha256:"), F.sha2(s, 256)))
     word = lambda s: named(F.regexp_replace(s, r"[0-9]+", "#"))
@@ -108,22 +110,37 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, tokens: int = TOKENS) -> list[Mined]:
-    """Rules `tokens -> blocked` from `tokens` (array) and `blocked` (boolean) of labelled URLs; rows whose `blocked` is null have no label and don't count."""
+    """Rules `tokens -> blocked` from `tokens` (array) and `blocked` (boolean) of labelled URLs; rows whose `blocked` is null have no label and don't count.
+
+    A rule goes if a shorter part of it is kept whose confidence it doesn't exceed by more than GAIN. So tokens that are rules by themselves with
+    a confidence of 1 - GAIN leave before FP-growth, as no set with them can stay, and so do tokens too rare to be in a rule; what
+    remains of long URLs are the tokens that only together tell something.
+    """
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.where("blocked is not null").select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    if rows.isEmpty():
+    rows = labelled.where("blocked is not null").select(F.array_distinct("tokens").alias("tokens"), "blocked")
+    counts = rows.agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")).first()
+    if not counts.blocked:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
-    found = model.associationRules.where(F.col("consequent")[0] == BLOCKED).where((F.size("antecedent") <= tokens) & (F.col("lift") >= lift))
-    # support bounds the frequent sets: they are at most 1 / support times the sets of a URL's tokens
-    rows = found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").collect()
-    kept: dict[tuple[str, ...], Mined] = {}
-    for row in sorted(rows, key=lambda r: (len(r.antecedent), -r.confidence, -r.support, r.antecedent)):
-        own = tuple(row.antecedent)
-        shorter = (kept.get(part) for n in range(1, len(own)) for part in combinations(own, n))
-        if not any(m is not None and m.confidence >= row.confidence - 0.02 for m in shorter):
-            kept[own] = Mined(own, row.confidence, row.support)
+    fewest, base = support * counts.n, counts.blocked / counts.n
+    singles = rows.select(F.explode("tokens").alias("token"), "blocked").groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("hits"))
+    # a URL's tokens over the support, at most
+    frequent = singles.where(F.col("hits") >= fewest).collect()
+    strong = {r.token: Mined((r.token,), r.hits / r.n, r.hits / counts.n) for r in frequent if r.hits >= max(confidence, 1 - GAIN) * r.n and r.hits >= lift * base * r.n}
+    # a token of all URLs changes no cover
+    open_ = sorted(r.token for r in frequent if r.token not in strong and r.n < counts.n)
+    kept: dict[tuple[str, ...], Mined] = {m.tokens: m for m in strong.values()}
+    if open_:
+        items = rows.select(F.array_intersect("tokens", F.lit(open_)).alias("tokens"), "blocked").select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+        found = model.associationRules.where(F.col("consequent")[0] == BLOCKED).where((F.size("antecedent") <= tokens) & (F.col("lift") >= lift))
+        # support bounds the frequent sets: they are at most 1 / support times the sets of a URL's tokens
+        mined = found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").collect()
+        for row in sorted(mined, key=lambda r: (len(r.antecedent), -r.confidence, -r.support, r.antecedent)):
+            own = tuple(row.antecedent)
+            shorter = (kept.get(part) for n in range(1, len(own)) for part in combinations(own, n))
+            if not any(m is not None and m.confidence >= row.confidence - GAIN for m in shorter):
+                kept[own] = Mined(own, row.confidence, row.support)
     return sorted(kept.values(), key=lambda m: (-m.confidence, -m.support, m.tokens))
 
 
