@@ -80,10 +80,9 @@ def test_components_of_chains_and_hubs(spark):
 
 def brute_top(rows, k):
     own = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    own = [(i, list(v)) for i, v in {(i, tuple(v)) for i, v in own}]
     out = Counter()
     for q in {i for i, _ in own if i % 100 == 0}:
-        pairs = {(-sum(a * b for a, b in zip(x, v)), i) for j, x in own if j == q for i, v in own if i != q and len(v) == len(x)}
+        pairs = [(-sum(a * b for a, b in zip(x, v)), i) for j, x in own if j == q for i, v in own if i != q and len(v) == len(x)]
         for rank, (score, i) in enumerate(sorted(pairs)[:k], 1):
             out[(q, rank, i, -score)] += 1
     return out
@@ -93,7 +92,7 @@ def test_top_k_against_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, [rng.uniform(-1, 1) * (1 + i % 7) for _ in range(8)]) for i in range(600)]
     rows += [(1000, [0.0] * 8), (1001, None), (1002, [float("nan")] * 8), (1003, [None] + [1.0] * 7), (None, [1.0] * 8), (1100, [1.0, 2.0]), (1101, [2.0, 1.0]), (5, rows[5][1]), (1102, [float("inf")] * 8), (1104, [])]
-    rows += [(2000 + i, rows[3][1]) for i in range(15)]
+    rows += [(2000 + i, rows[3][1]) for i in range(15)] + [rows[3], rows[3], rows[200], rows[399]]
     table = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<float>, rank string, score string")
     got = topk_search.top_k(table, candidates=100, queries=4).collect()
     assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows, 10)

@@ -2,11 +2,11 @@
 
 1. Each component is made an integer; the Gram matrix of all vectors, summed in
    parallel, gives the rotation (the right singular vectors of the whole table).
-2. Queries and candidates are dealt out as blocks: candidates in order of
-   descending length, queries by hash. A query meets the block of the longest
+2. Queries and candidates are dealt out as blocks: candidates in bands of
+   descending length, queries by hash. A query meets a block of the longest
    candidates first; the k-th best score there is its floor.
-3. A further candidate block gets a query only if |query| * |longest in block|
-   can reach the floor. Within a block, a partial product along the leading axes
+3. A further band gets a query only if |query| * |longest in band| can reach the
+   floor, and its blocks are copied to such blocks of queries only that hold one. Within a block, a partial product along the leading axes
    plus the product of the remaining lengths bounds every score; only candidates
    whose bound reaches the floor are scored, exactly, in integers.
 4. The best of all blocks are merged, each query's in one window over at most
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.common import written
 
-#: Vectors in a block of candidates, and in one of queries.
-CANDIDATES, QUERIES = 8192, 2048
+#: Vectors in a block of candidates, and in one of queries; most bands of lengths. A band holds more blocks as the table grows, so what is said of bands is bounded.
+CANDIDATES, QUERIES, BANDS = 8192, 2048, 512
 #: Slack of float bounds, relative to the product of lengths.
 SLACK = 1e-9
 #: Sums of products below this are exact in float64; beyond, Python's integers are used.
@@ -50,7 +50,7 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     """For each dimension, the principal axes of all its vectors in order of weight. d * d numbers come to the driver, whatever the table's size."""
     rows = vectors.mapInArrow(_gram, "d int, i int, row array<double>").select("d", "i", F.posexplode("row").alias("j", "x")).groupBy("d", "i", "j").agg(F.sum("x").alias("x"))
     grams: dict[int, np.ndarray] = {}
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         grams.setdefault(r.d, np.zeros((r.d, r.d)))[r.i, r.j] = r.x
     return {d: np.linalg.eigh(m)[1][:, ::-1] if np.isfinite(m).all() else np.eye(d) for d, m in grams.items()}
 
@@ -126,58 +126,54 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     Queries are the rows whose vec_id is divisible by `every`; candidates all rows but those of the query's vec_id.
     Returns query_id, rank (from 1), vec_id, score; ties to the smaller vec_id.
     Defined for odd inputs: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows
-    without vec_id; a query meets only vectors of its own dimension; wholly repeated rows are one row, and of rows that share an id
-    but differ each is a candidate, and a query, whose results are pooled by id. Scores beyond a long are the nearest long. An empty table gives an empty one.
+    without vec_id; a query meets only vectors of its own dimension; each row is a candidate and a query by itself, repeated ones too, and the
+    results of rows that share an id are pooled. Scores beyond a long are the nearest long. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).where(finite)
     # floor() of a double is a long, which wide components don't fit
     whole = whole.select("vec_id", F.transform("embedding", lambda x: F.when(F.abs(x) < 1e15, F.floor(x * scale).cast("double")).otherwise(x * scale)).alias("v"))
-    whole = written(whole.distinct(), "vectors")
+    whole = written(whole, "vectors")
     axes = rotations(whole)
     whole = whole.withColumn("d", F.size("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
 
     total = whole.count()
-    blocks = max(1, -(-total // candidates))
-    # blocks of lengths: bounds between them are quantiles of all lengths; equal lengths are dealt out by hash
-    edges = whole.approxQuantile("norm", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
-    edges = sorted(set(edges), reverse=True)
-    bands = F.lit(0)
-    if edges:
-        bands = F.size(F.filter(F.lit(edges), lambda e: e > F.col("norm")))
-    placed = written(whole.withColumn("band", bands), "placed")
-    sizes = {r.band: (r.n, r.longest) for r in placed.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}
-    parts = {b: max(1, -(-n // candidates)) for b, (n, _) in sizes.items()}
-    first_block, block = {}, 0
-    for b in sorted(parts):
-        first_block[b], block = block, block + parts[b]
-    if not sizes:
+    if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    of = lambda m: F.element_at(F.create_map(*(F.lit(x) for pair in m.items() for x in pair)), F.col("band"))
-    placed = placed.withColumn("block", of(first_block) + F.pmod(F.xxhash64("vec_id", "v"), of(parts)).cast("int"))
-    reach = [sizes[b][1] for b in sorted(parts) for _ in range(parts[b])]
-
-    asked = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v", "d", "norm")
+    wanted = min(BANDS, max(1, -(-total // candidates)))
+    # bounds between bands are quantiles of all lengths; within a band, blocks are dealt out by hash
+    edges = whole.approxQuantile("norm", [i / wanted for i in range(1, wanted)], 0.1 / wanted) if wanted > 1 else []
+    edges = sorted(set(edges), reverse=True)
+    band = F.size(F.filter(F.lit(edges), lambda e: e > F.col("norm"))) if edges else F.lit(0)
+    banded = written(whole.withColumn("band", band), "banded")
+    sizes = {r.band: (r.n, r.longest) for r in banded.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}
+    bands = sorted(sizes)
+    parts = [max(1, -(-sizes[b][0] // candidates)) for b in bands]
+    of = lambda values: F.element_at(F.lit(values), F.array_position(F.lit(bands), F.col("band")).cast("int"))
+    placed = banded.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), of(parts)).cast("int"))
+
+    asked = whole.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v", "d", "norm")
     groups = max(1, -(-asked.count() // queries))
-    asked = asked.withColumn("q", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(groups)).cast("int"))
-    asked = written(asked, "asked")
+    asked = written(asked.withColumn("q", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(groups)).cast("int")), "asked")
 
-    def meet(some_queries: DataFrame, some_blocks: DataFrame) -> DataFrame:
-        """Pairs of a query block and a candidate block; queries come with block and least."""
-        copies = some_blocks.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return some_queries.groupBy("q", "block", "d").cogroup(copies.groupBy("q", "block", "d")).applyInArrow(_block(axes, k), RESULT)
+    def meet(some_queries: DataFrame) -> DataFrame:
+        """The best of query blocks in candidate blocks; queries come with band, part and least. Only blocks that some query survives to are copied, to its block."""
+        key = ["q", "band", "part", "d"]
+        copies = placed.join(written(some_queries.select(*key).distinct(), "pairs"), key[1:])
+        return some_queries.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_block(axes, k), RESULT)
 
+    first = (F.col("band") == bands[0]) & (F.col("part") == 0)
     none = F.lit(None).cast("double")
-    top = written(meet(asked.withColumn("block", F.lit(0)).withColumn("least", none), placed.where("block = 0")), "top")
+    top = written(meet(asked.withColumn("band", F.lit(bands[0])).withColumn("part", F.lit(0)).withColumn("least", none)), "top")
     floors = top.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k).select("query_id", "least")
     found = top
-    if block > 1:
-        others = asked.join(floors, "query_id", "left").withColumn("block", F.explode(F.lit(list(range(1, block)))))
-        longest = F.element_at(F.lit([float(x) for x in reach]), F.col("block") + 1)
-        others = others.where(F.col("least").isNull() | (F.col("norm") * longest * (1 + 1e-9) + 1 >= F.col("least")))
-        found = top.unionByName(meet(others, placed.where("block > 0")))
-    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    if sum(parts) > 1:
+        others = asked.join(floors, "query_id", "left").withColumn("band", F.explode(F.lit(bands)))
+        others = others.where(F.col("least").isNull() | (F.col("norm") * of([float(sizes[b][1]) for b in bands]) * (1 + 1e-9) + 1 >= F.col("least")))
+        others = others.withColumn("part", F.explode(F.sequence(F.lit(0), of(parts) - 1))).where(~first)
+        found = top.unionByName(meet(others))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
