@@ -3,7 +3,7 @@
 Two zstandard dictionaries are built from a bounded sample of labelled texts, one
 per class. The difference of a text's two compressed sizes, over its size, is
 turned into a probability by a logistic curve fitted on labelled texts that the
-dictionaries haven't seen. Scoring is one pass without a shuffle.
+dictionaries haven't seen; as a longer text's difference says more, the curve's slope may grow with the text's length. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,22 +18,23 @@ from pyspark.sql import functions as F
 
 from webstrata.llm.common import steps
 
-#: Labelled texts of each class that are used at most, and bytes of them; the same at every input size.
-SAMPLE_TEXTS, SAMPLE_BYTES = 3000, 24_000_000
+#: Labelled texts of each class that are used at most, bytes of them, and bytes of one (a longer one teaches nothing, but is scored); the same at every input size.
+SAMPLE_TEXTS, SAMPLE_BYTES, LONGEST = 3000, 24_000_000, 3_000_000
 #: Size of a dictionary; level of compression.
 DICTIONARY, LEVEL = 112_640, 3
 #: A text is compressed in blocks of so many bytes, all of them: further on, a compressor leans on the text before instead of its dictionary.
 BLOCK = 1024
-#: Every so many-th sampled text fits the curve instead of a dictionary.
-CURVE_EVERY = 3
+#: Every so many-th sampled text fits the curve instead of a dictionary; texts of a step of the counted shares at least; the curve's part in a score beside them.
+CURVE_EVERY, STEP, SMOOTH = 3, 25, 0.05
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, float]  # of the difference, and of the difference times the length's logarithm
     offset: float
+    steps: tuple[tuple[float, float], ...] = ()  # the curve's value and the share of class 1 there, rising
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -53,10 +54,18 @@ class Scorer:
         blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
         return sum(len(self.good.compress(b)) - len(self.bad.compress(b)) for b in blocks) / len(text)
 
+    def curve(self, text: bytes) -> float:
+        """The logistic curve's value before it is squeezed."""
+        return self.model.offset + float(np.dot(self.model.slopes, measures(self.difference(text), len(text))))
+
     def score(self, text: bytes) -> float:
         """Probability that the label is 1."""
-        z = self.model.offset - self.model.slope * self.difference(text)
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        z = self.curve(text)
+        smooth = float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        if not self.model.steps:
+            return smooth
+        # what was counted, and enough of the curve that no two different values tie
+        return (1 - SMOOTH) * float(np.interp(z, *zip(*self.model.steps))) + SMOOTH * smooth
 
 
 def dictionary(texts: Sequence[bytes], size: int = DICTIONARY) -> bytes:
@@ -70,20 +79,40 @@ def dictionary(texts: Sequence[bytes], size: int = DICTIONARY) -> bytes:
         return b"\n".join(texts)[-size:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Slope and offset of P(y = 1) by Newton's method with a small ridge; targets drawn in a little, as in Platt's scaling."""
+def measures(difference: float, size: int) -> tuple[float, float]:
+    """What the curve is fitted on."""
+    return difference, difference * float(np.log1p(size / BLOCK))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Slopes and offset of P(y = 1) by Newton's method with a small ridge; targets drawn in a little, as in Platt's scaling."""
     up, down = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    scale = x.std() or 1.0
-    z = np.stack([x / scale, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z = np.concatenate([x / scale, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(z.shape[1])
+    ridge = 1e-3 * np.eye(len(w))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(2), z.T @ (t - p) - 1e-4 * w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (t - p) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1])
+    return w[:-1] / scale, float(w[-1])
+
+
+def rising(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, float], ...]:
+    """Shares of class 1 along z that never fall: runs of STEP texts, neighbours pooled until they rise."""
+    order = np.argsort(z, kind="stable")
+    cuts = range(0, len(z), STEP)
+    pools = [[(z[at] * weight[at]).sum(), (y[at] * weight[at]).sum(), weight[at].sum()] for at in (order[c : c + STEP] for c in cuts)]
+    kept: list[list[float]] = []
+    for pool in pools:
+        kept.append(pool)
+        while len(kept) > 1 and kept[-2][1] / kept[-2][2] >= kept[-1][1] / kept[-1][2]:
+            last = kept.pop()
+            kept[-1] = [a + b for a, b in zip(kept[-1], last)]
+    return tuple((a / w, b / w) for a, b, w in kept)
 
 
 def fit(good: Sequence[bytes], bad: Sequence[bytes], share: float | None = None) -> Model:
@@ -95,14 +124,17 @@ def fit(good: Sequence[bytes], bad: Sequence[bytes], share: float | None = None)
     (good_d, good_c), (bad_d, bad_c) = hold(good), hold(bad)
     if share is None:
         share = (len(good) + 1) / (len(good) + len(bad) + 2)
-    flat = Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
+    flat = Model(b"", b"", (0.0, 0.0), float(np.log(share / (1 - share))))
     if not good_d or not bad_d:
         return flat
-    model = Model(dictionary(good_d), dictionary(bad_d), 0.0, flat.offset)
+    model = Model(dictionary(good_d), dictionary(bad_d), (0.0, 0.0), flat.offset)
     scorer = model.scorer()
-    x = np.array([scorer.difference(t) for t in [*good_c, *bad_c]])
-    slope, offset = logistic(x, np.array([1] * len(good_c) + [0] * len(bad_c)))
-    return Model(model.good, model.bad, -slope, offset + flat.offset - float(np.log(len(good_c) / len(bad_c))))
+    x = np.array([measures(scorer.difference(t), len(t)) for t in [*good_c, *bad_c]])
+    y = np.array([1] * len(good_c) + [0] * len(bad_c))
+    slopes, offset = logistic(x, y)
+    offset += flat.offset - float(np.log(len(good_c) / len(bad_c)))
+    weight = np.where(y == 1, share / len(good_c), (1 - share) / len(bad_c))
+    return Model(model.good, model.bad, tuple(slopes.tolist()), offset, rising(offset + x @ slopes, y, weight))
 
 
 def sample(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[bytes], float]:
@@ -117,7 +149,7 @@ def sample(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, most_b
     for quality in (1, 0):
         # twice as many ids as texts, as some labelled ids have no document; bounded by the parameter, so broadcast
         ids = usable.where(F.col("quality") == quality).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * texts)
-        found = docs.select("doc_id", "text").where(F.col("text") != "").where(size <= most_bytes // 8).join(F.broadcast(ids), "doc_id")
+        found = docs.select("doc_id", "text").where(F.col("text") != "").where(size <= LONGEST).join(F.broadcast(ids), "doc_id")
         kept = found.dropDuplicates(["text"]).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(texts).select("text")
         own, total = [], 0
         for row in kept.toLocalIterator():
