@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def widened(known: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def new_blobs(bodies: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Bodies that aren't stored yet, once each: sha256, byte_len, bytes. The bytes are joined last, so that only hashes are dealt out to find the new ones."""
+    """Bodies that aren't stored yet, once each: sha256, byte_len, bytes. Copies within a partition fall together before bytes are dealt out."""
     rows = bodies.select("sha256", "byte_len", "bytes")
     if known is not None:
         rows = rows.join(known.select("sha256"), "sha256", "left_anti")
@@ -51,6 +53,52 @@ def list_rows(captures: DataFrame, articles: DataFrame | None = None) -> DataFra
     return rows.groupBy("canonical_url").agg(F.count("*").alias("captures"), F.max("fetched_at").alias("last_captured_at"), F.max_by("has_article", "capture_id").alias("has_article"))
 
 
+def read_item(known: DataFrame, url: str) -> DataFrame:
+    """The item of a canonical URL, no row if there is none; the filter reaches the scan."""
+    return known.where(F.col("canonical_url") == url)
+
+
+def read_captures(captures: DataFrame, sidecar: DataFrame) -> DataFrame:
+    """Captures (item_id, capture_id, assets, assets_missed, ...) with what later passes recovered: assets are added, misses replaced, and those since stored go."""
+    late = sidecar.select("item_id", "capture_id", F.col("assets").alias("late_assets"), F.col("assets_missed").alias("late_missed"))
+    rows = captures.join(late, ["item_id", "capture_id"], "left")
+    none = lambda late, own: F.coalesce(late, F.slice(own, 1, 0))
+    rows = rows.withColumn("assets", merged_assets(F.col("assets"), none(F.col("late_assets"), F.col("assets"))))
+    rows = rows.withColumn("assets_missed", still_missed(merged_misses(F.col("assets_missed"), none(F.col("late_missed"), F.col("assets_missed"))), F.col("assets")))
+    return rows.drop("late_assets", "late_missed")
+
+
+#: Fixed value: most bytes of a capture's recovered assets, as JSON.
+SIDECAR_BYTES = 2 * 1024 * 1024
+
+
+def with_recovered(sidecar: DataFrame, found: DataFrame) -> DataFrame:
+    """The sidecar (item_id, capture_id, assets, assets_missed) after one more pass, and too_large where it may not be stored. A pass that found nothing changes nothing."""
+    key = ["item_id", "capture_id"]
+    new = found.where((F.size("assets") > 0) | (F.size("assets_missed") > 0)).select(*key, F.col("assets").alias("new_assets"), F.col("assets_missed").alias("new_missed"))
+    rows = sidecar.join(new, key, "full")
+    either = lambda a, b, merge: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merge(a, b))
+    rows = rows.select(*key, either(F.col("assets"), F.col("new_assets"), merged_assets).alias("assets"), either(F.col("assets_missed"), F.col("new_missed"), merged_misses).alias("assets_missed"))
+    rows = rows.withColumn("assets_missed", still_missed(F.col("assets_missed"), F.col("assets")))
+    return rows.withColumn("too_large", F.octet_length(F.to_json(F.struct("assets", "assets_missed"))) > SIDECAR_BYTES)
+
+
+def overwritten(known: DataFrame, new: DataFrame, keys: Sequence[str] = ("item_id", "capture_id")) -> DataFrame:
+    """Records by key, those of new instead of known ones. An article's state is one such record, so a new state leaves no trace of the others."""
+    return known.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+
+
+def paired_articles(articles: DataFrame) -> DataFrame:
+    """Articles (markdown, markdown_sha256) and status: ok, no_markdown, or torn if the text isn't the one that the record was written with."""
+    status = F.when(F.col("markdown").isNull(), "no_markdown").when(F.sha2("markdown", 256) == F.col("markdown_sha256"), "ok").otherwise("torn")
+    return articles.withColumn("status", status)
+
+
+def self_named(captures: DataFrame) -> DataFrame:
+    """Captures read from files (file_id beside capture_id), and whether the record names the file that it was in; otherwise it is unreadable."""
+    return captures.withColumn("readable", F.coalesce(F.col("capture_id") == F.col("file_id"), F.lit(False)))
+
+
 def item_status(record: Column, path_ok: Column, is_file: Column, size: Column) -> Column:
     """What walking the archive finds at a place: the record as parsed or null, and facts about its file."""
     return (

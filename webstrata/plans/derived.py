@@ -158,10 +158,21 @@ def sitemap_host_filter(spark, sf_dir):
     return values(spark, SITEMAP, "id, url").agg(F.count("*").alias("listed"), F.count_if(own).alias("taken"), F.count_if(~own).alias("off_host"))
 
 
-@query(over(LINKS, "SELECT url AS url, 0 AS depth FROM pages WHERE page_id < 5 UNION SELECT link, 1 FROM links WHERE page_id < 5 AND link NOT IN (SELECT url FROM pages WHERE page_id < 5)"))
+HOPS = over(
+    LINKS.rstrip() + """,
+s AS (SELECT arg_min(url, page_id) AS url FROM cap GROUP BY host_dir),
+e AS (SELECT p.url AS source, link AS target FROM links JOIN pages p USING (page_id)),
+one AS (SELECT DISTINCT target AS url FROM e WHERE source IN (SELECT url FROM s) AND target NOT IN (SELECT url FROM s)),
+two AS (SELECT DISTINCT target AS url FROM e WHERE source IN (SELECT url FROM one) AND target NOT IN (SELECT url FROM s) AND target NOT IN (SELECT url FROM one))""",
+    "SELECT url, 0 AS depth FROM s GROUP BY url UNION ALL SELECT url, 1 FROM one UNION ALL SELECT url, 2 FROM two",
+)
+
+
+@query(HOPS)
 def hop_depths(spark, sf_dir):
+    """From the first page of each host."""
     edges = all_links(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("source")), "page_id").select("source", F.col("link").alias("target"))
-    seeds = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id < 5").select("url")
+    seeds = captures(spark, sf_dir).groupBy("host_dir").agg(F.min_by("requested_url", "page_id").alias("url"))
     return crawl.hop_depths(edges, seeds, 2)
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webstrata.functions import texts
+from webstrata.functions import texts, urls
 from webstrata.functions.udfs import canonical_url_udf, markdown_destinations_udf
 
 
@@ -51,6 +51,38 @@ def linked(vault: DataFrame) -> DataFrame:
     return vault.join(spans, "path", "left").withColumn("markdown", F.when(F.col("spans").isNull(), F.col("markdown")).otherwise(text)).drop("spans")
 
 
+def asset_url_key(address: Column) -> Column:
+    """The address under which an asset is looked up: without fragment, scheme and host in lower case, no default port, a path; as it is if it isn't absolute."""
+    scheme, authority = urls.scheme_of(address), F.lower(urls.authority_of(address))
+    plain = F.regexp_replace(authority, r":\d*\z", "")
+    default = ((scheme == "http") & authority.endswith(":80")) | ((scheme == "https") & authority.endswith(":443")) | authority.endswith(":")
+    rest = F.regexp_extract(address, r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(scheme.isin("http", "https") & (authority != ""), F.concat(scheme, F.lit("://"), F.when(default, plain).otherwise(authority), rest)).otherwise(address)
+
+
+#: Image types that a vault takes, and their extensions.
+IMAGES = {"image/avif": "avif", "image/gif": "gif", "image/jpeg": "jpg", "image/png": "png", "image/svg+xml": "svg", "image/webp": "webp"}
+
+
+def note_images(images: DataFrame, assets: DataFrame) -> DataFrame:
+    """Images of notes (path, destination) that lead to a stored asset, and its file: path, destination, sha256, filename.
+
+    assets: path (of the note whose capture has them), place, requested_url, final_url, status, media_type, sha256. Each is found under both its
+    addresses; of several under one the last counts, even if it then is no image or wasn't answered well.
+    """
+    by = assets.select("path", "place", "status", "media_type", "sha256", F.posexplode(F.array(asset_url_key(F.col("requested_url")), asset_url_key(F.col("final_url")))).alias("nth", "key"))
+    last = by.groupBy("path", "key").agg(F.max_by(F.struct("status", "media_type", "sha256"), F.struct("place", "nth")).alias("a")).select("path", "key", "a.*")
+    extension = F.element_at(F.create_map(*(F.lit(x) for pair in IMAGES.items() for x in pair)), F.lower(F.trim(F.substring_index("media_type", ";", 1))))
+    rows = images.withColumn("key", asset_url_key(F.col("destination"))).join(last, ["path", "key"]).where("status between 200 and 299").withColumn("filename", F.concat("sha256", F.lit("."), extension))
+    return rows.where("filename is not null").select("path", "destination", "sha256", "filename")
+
+
+def ruled(captures: DataFrame, rules: DataFrame) -> DataFrame:
+    """Captures with their host's extraction rules (host_dir, body, strip), null where there are none. Spark broadcasts the rules if they are small."""
+    return captures.join(rules, "host_dir", "left")
+
+
 def note_texts(vault: DataFrame) -> DataFrame:
     """path and text: front matter, an empty line, the body."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)

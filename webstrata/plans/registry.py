@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.plans import derived, native
+from webstrata.plans import derived, native, replayed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return native.QUERIES | derived.QUERIES
+    return native.QUERIES | derived.QUERIES | replayed.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return native.SQL | derived.SQL
+    return native.SQL | derived.SQL | replayed.SQL
