@@ -45,3 +45,51 @@ def test_bounds_of_time_and_pages(spark):
     assert ends(crawl.within_bounds(events, 2, 30)) == {"a": (3, "page-ceiling-reached"), "b": (1, "deadline-reached")}
     row = spark.range(1).select(crawl.overran(F.lit(100), F.lit(109)).alias("a"), crawl.overran(F.lit(100), F.lit(110)).alias("b"), crawl.overran(F.lit(None).cast("int"), F.lit(110)).alias("c")).first()
     assert (row.a, row.b, row.c) == (False, True, False)
+
+
+WEB = [
+    (1, "https://a.example/", '<a href="/one"><a href="/private/x"><a href="/gone">'),
+    (2, "https://a.example/one", '<a href="/two">'),
+    (3, "https://a.example/two", '<a href="/three">'),
+    (4, "https://a.example/three", "<p>deep</p>"),
+    (5, "https://a.example/private/x", "<p>private</p>"),
+    (6, "https://b.example/", "<p>another host</p>"),
+    (7, "https://a.example/island", "<p>no link leads here</p>"),
+]
+
+
+@pytest.fixture()
+def captured(spark, tmp_path, capsys):
+    import json
+
+    from webstrata import cli
+
+    spark.createDataFrame(WEB, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "web"))
+    n = iter(range(9))
+
+    def run(*more):
+        root = str(tmp_path / f"archive{next(n)}")
+        assert cli.main(["--json", "capture", root, "https://a.example/", "--recorded", str(tmp_path / "web"), *more], spark) == 0
+        report = json.loads(capsys.readouterr().out.splitlines()[-1])
+        return report, sorted(r.page_id for r in spark.read.parquet(f"{root}/captures").select("page_id").collect())
+
+    return run
+
+
+def test_capture_follows_links_of_the_seeds_host(captured, tmp_path):
+    report, pages = captured()
+    assert pages == [1, 2, 3, 5, 7] and report["stopped"] == "exhausted" and report["links_never_followed"] == 1
+    assert captured("--max-depth", "1")[1] == [1, 2, 5, 7]
+    (tmp_path / "robots.txt").write_text("User-agent: *\nDisallow: /private/\n")
+    assert captured("--robots", str(tmp_path / "robots.txt"))[1] == [1, 2, 3, 7]
+
+
+def test_capture_within_bounds_and_from_a_sitemap(captured, tmp_path):
+    report, pages = captured("--max-pages", "2")
+    assert pages == [1, 7] and report["stopped"] == "page-ceiling-reached" and report["links_never_followed"] == 0
+    report, pages = captured("--deadline", "3s", "--delay", "1s")
+    assert len(pages) == 3 and report["stopped"] == "deadline-reached"
+    (tmp_path / "s.xml").write_text("<urlset><url><loc>https://a.example/three</loc></url><url><loc>https://b.example/</loc></url></urlset>")
+    report, pages = captured("--from-sitemap", str(tmp_path / "s.xml"))
+    assert pages == [4] and (report["urls_listed"], report["refused_off_host"]) == (2, 1)
+    assert captured("--from-sitemap", str(tmp_path / "s.xml"), "--max-depth", "1")[1] == [1, 2, 4, 5, 7]

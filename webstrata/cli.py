@@ -15,12 +15,15 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.functions import udfs
+from webstrata.functions import links, robots, udfs, urls, urlspec
 from webstrata.functions.urlspec import unusable
-from webstrata.operators import archive
+from webstrata.operators import archive, crawl
 from webstrata.plans import export as vault
+from webstrata.sources import sitemap
 from webstrata.sources.pages import captures_in
 
+#: What robots.txt may call us by.
+AGENT = "webstrata"
 MARKER, VERSION = "webstrata.json", 1
 UNITS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}
 
@@ -78,15 +81,42 @@ def derive(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     return meta, udfs.articles(pages, ["item_id", "capture_id"])
 
 
+def recorded_links(pages: DataFrame) -> DataFrame:
+    """source, target, base_declared of recorded pages."""
+    own = pages.select("page_id", F.col("url").alias("source"), crawl.declares_base(F.col("html")).alias("base_declared"))
+    rows = links.page_links(captures_in(pages).withColumn("html", F.col("body").cast("string")), "html")
+    return rows.select("page_id", F.col("link").alias("target")).join(own, "page_id")
+
+
 def capture(spark: SparkSession, args) -> int:
-    """Files recorded pages (page_id, url, html) that aren't filed yet; body first, then capture, then what is derived."""
+    """Files pages of the seed's host from a recorded web (page_id, url, html) within the bounds, unless they are filed; body first, then capture, then what is derived."""
     why = unusable(args.seed_url, args.allow_private_addresses)
     if why:
         print(f"unusable seed: {why}", file=sys.stderr)
         return 2
     open_archive(args.archive, create=True)
-    rows = captures_in(spark.read.parquet(args.recorded).limit(args.max_pages)).where("canonical_url is not null")
-    known = table(spark, args.archive, "captures")
+    seed = crawl.Seed(args.seed_url, args.max_pages, crawl.Seed.max_depth if args.max_depth is None else args.max_depth, args.concurrency, args.delay, args.deadline, args.request_timeout, args.max_retries, args.allow_private_addresses)
+    web = spark.read.parquet(args.recorded)
+    edges, known = recorded_links(web), table(spark, args.archive, "captures")
+    listing, listed = None, None
+    if args.from_sitemap:
+        with open(args.from_sitemap, "rb") as f:
+            listing = sitemap.read(f.read(), args.seed_url)
+        listed = spark.createDataFrame([(u,) for u in listing.urls], "url string").select(urls.canonical_url(F.col("url")).alias("canonical_url")).where("canonical_url is not null")
+        if known is not None:
+            listed = crawl.unarchived(listed, known)
+    rows, most = crawl.replayed(captures_in(web), edges, seed, listed, traverse=listing is None or args.max_depth is not None)
+    if args.robots:
+        with open(args.robots, encoding="utf-8", errors="replace") as f:
+            groups = robots.rules_for(robots.groups(f.read()), AGENT)
+        rules = spark.createDataFrame([(urlspec.parse(args.seed_url).host, [(r.pattern, r.allowed) for r in groups])], "host string, rules array<struct<pattern:string,allowed:boolean>>")
+        rows = crawl.robots_filtered(rows, rules)
+    events = crawl.filed(rows.withColumn("kind", F.lit("response")).drop("canonical_url"), args.allow_private_addresses)
+    arrived = events.where("outcome = 'filed'").orderBy("depth", "page_id").limit(most + 1)
+    seen = arrived.count()
+    full = seen > most or seen == most == seed.max_pages
+    stopped = "exhausted" if not full else "page-ceiling-reached" if most == seed.max_pages else "deadline-reached"
+    rows = arrived.orderBy("depth", "page_id").limit(most).select(*rows.drop("depth").columns)
     new = rows if known is None else archive.new_captures(rows, known)
     blobs = table(spark, args.archive, "blobs")
     archive.new_blobs(new.select(F.col("body_sha").alias("sha256"), "byte_len", F.col("body").alias("bytes")), blobs).write.mode("append").parquet(os.path.join(args.archive, "blobs"))
@@ -96,8 +126,13 @@ def capture(spark: SparkSession, args) -> int:
     meta.write.mode("append").parquet(os.path.join(args.archive, "metadata"))
     prose.write.mode("append").parquet(os.path.join(args.archive, "extraction"))
     new.drop("body").write.mode("append").parquet(os.path.join(args.archive, "captures"))
-    report = {"captures_written": n, "pages_seen": rows.count()}
-    print(json.dumps(report) if args.json else f"captured {n} of {report['pages_seen']} pages")
+    lost = crawl.frontier_edges(edges).select(F.col("target").alias("url")).distinct().join(web.select("url"), "url", "left_anti").where(urls.host_of(F.col("url")) == urls.host_of(F.lit(seed.url))).count() if stopped == "exhausted" else 0
+    report = {"captures_written": n, "pages_seen": min(seen, most), "stopped": stopped, "links_never_followed": lost, "responses_refused": rows.where("status >= 400").count()}
+    if listing:
+        report |= {"urls_listed": listing.urls_listed, "refused_off_host": listing.refused_off_host, "refused_over_ceiling": listing.refused_over_ceiling}
+    print(json.dumps(report) if args.json else f"captured {n} of {report['pages_seen']} pages; {crawl.STOPS[stopped]}")
+    if lost and not args.json:
+        print(f"{lost} links were never followed", file=sys.stderr)
     return 0
 
 
@@ -173,6 +208,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name, default in (("--delay", "0s"), ("--deadline", "300s"), ("--request-timeout", "30s")):
         c.add_argument(name, type=span, default=span(default))
     c.add_argument("--max-retries", type=int, default=2)
+    c.add_argument("--from-sitemap", help="a recorded sitemap; its addresses are captured, and the seed's links followed only if --max-depth says how far")
+    c.add_argument("--robots", help="the recorded robots.txt of the seed's host")
     c.add_argument("--allow-private-addresses", action="store_true")
     verbs.add_parser("list").add_argument("archive")
     e = verbs.add_parser("export")

@@ -75,6 +75,32 @@ def at_most(responses: DataFrame, most: int) -> DataFrame:
     return responses.withColumns({"body": F.when(over, F.substring("body", 1, most)).otherwise(F.col("body")), "body_truncated": F.col("body_truncated") | over})
 
 
+def replayed(events: DataFrame, links: DataFrame, seed: Seed, listed: DataFrame | None = None, traverse: bool = True) -> tuple[DataFrame, int]:
+    """What a crawl of recorded pages hands over, in order of depth, then page_id: (events with depth, the most that its bounds let through).
+
+    events are captures of recorded pages; those of other hosts than the seed's are never asked for. A page that no link leads to counts as a
+    seed; one that links reach in more than max_depth hops isn't handed over. listed (canonical_url, from a sitemap) comes after what was traversed, or alone.
+    Time passes only by the delay between pages.
+    """
+    spark = events.sparkSession
+    host = lambda c: urls.rewritten_host(urls.host_of(c))
+    own = events.where(host(F.col("requested_url")) == host(F.lit(seed.url)))
+    edges = frontier_edges(links)
+    start = spark.range(1).select(F.lit(seed.url).alias("url")).unionByName(own.select(F.col("requested_url").alias("url")).join(edges.select(F.col("target").alias("url")), "url", "left_anti"))
+    if traverse:
+        rows = own.join(hop_depths(edges, start, seed.max_depth).withColumnRenamed("url", "requested_url"), "requested_url", "left")
+    else:
+        rows = own.withColumn("depth", F.lit(None).cast("int"))
+    wanted = F.col("depth").isNotNull()
+    if listed is not None:
+        rows = rows.join(listed.select("canonical_url").distinct().withColumn("listed", F.lit(True)), "canonical_url", "left")
+        wanted = wanted | F.coalesce("listed", F.lit(False))
+    rows = rows.withColumn("wanted", wanted).withColumn("depth", F.coalesce("depth", F.lit(seed.max_depth + 1)))
+    rows = ceiled(rows.where("wanted").drop("wanted", "listed"), seed.max_response_bytes)
+    in_time = seed.deadline // seed.delay if seed.deadline is not None and seed.delay else seed.max_pages
+    return rows, min(seed.max_pages, in_time)
+
+
 def robots_filtered(captures: DataFrame, rules: DataFrame) -> DataFrame:
     """Captures whose host's rules (host, rules array<struct<pattern, allowed>>) allow the requested address; a host without rules allows all. The others leave no trace."""
     target = F.regexp_replace(F.regexp_extract("requested_url", r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1), r"\A(?!/)", "/")
