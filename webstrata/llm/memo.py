@@ -15,7 +15,7 @@ class Memo:
 
     used: Memo | None = None
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 250_000):
         self.encode, self.most = encode, most
         self.forget()
 
