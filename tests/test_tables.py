@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from webstrata import cli
 from webstrata.functions import identity, texts, urls
-from webstrata.operators import archive
+from webstrata.operators import archive, assets
 from webstrata.streaming import replay
 
 
@@ -77,3 +77,27 @@ def test_site_rules_cover_every_page(spark, sf_dir):
     got = e.queries()["article_by_site_rule"](spark, sf_dir)
     assert sorted(r.page_id for r in got.select("page_id").collect()) == sorted(r.page_id for r in pages.select("page_id").collect())
     assert got.where("rules not like 'site:%'").count() == 0 and got.select("rules").distinct().count() > 5
+
+
+def test_budget_streams_through_batches(spark):
+    """Runs cut by batches get the outcomes of one fold each; a capture without a day keeps its references; no run is gathered in one frame."""
+    n = 40
+    refs = spark.range(3 * 5 * n).select(
+        (F.col("id") % 3).cast("string").alias("run_id"), F.when(F.col("id") % 5 > 0, (F.col("id") % 5).cast("string")).alias("capture_id"), (F.col("id") * 7 % 601).cast("int").alias("place"),
+        F.concat(F.lit("https://a.example/"), (F.col("id") * 31 % 47).cast("string")).alias("url"), F.element_at(F.lit(["script", "other", "image"]), (F.col("id") % 3 + 1).cast("int")).alias("kind"))
+    answers = spark.range(40).select(F.concat(F.lit("https://a.example/"), "id").alias("url"), F.lit("https://b.example/").alias("final_url"), F.lit(200).alias("status"), (F.col("id") * 300_000).alias("byte_len"), (F.col("id") % 9 == 0).alias("truncated"), F.when(F.col("id") % 4 == 0, "timed out").alias("failure"))
+    given = {r.url: r.asDict() for r in answers.collect()}
+    want, rows = [], refs.collect()
+    for run in "012":
+        known = {}
+        for capture in ("1", "2", "3", "4", None):
+            own = sorted((r for r in rows if (r.run_id, r.capture_id) == (run, capture)), key=lambda r: r.place)
+            want += [(run, capture, r.place, r.url, r.kind, *map(o.get, ("reason", "detail", "byte_len", "final_url", "status"))) for r, o in zip(own, assets.fold([(r.url, r.kind) for r in own], given, known))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = assets.budgeted(refs, answers)
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({r[5] for r in want}) > 3 and sorted(got, key=str) == sorted(want, key=str)
