@@ -1,8 +1,9 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 
-from webstrata.functions import decode, html_scan, identity, markdown, readability, robots, srcset, urlspec
+from webstrata.functions import decode, html_scan, identity, markdown, readability, robots, srcset, udfs, urlspec
 from webstrata.operators import assets
 from webstrata.sources import sitemap
 
@@ -123,3 +124,19 @@ def test_asset_fold():
 
 def test_fingerprints_in_python():
     assert identity.fingerprint_of(["a"], None, [], "b", False) == hashlib.sha256(b"\x01" + b"\0" * 7 + b"a" + b"\0" + b"\x01" + b"\0" * 7 + b"b" + b"\0").hexdigest()
+
+
+def test_pages_are_read_by_slices():
+    sizes = [10] * 200 + [udfs.SLICE_BYTES, 10, None, 3 * udfs.SLICE_BYTES, 10]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(sizes))), "html": [n and "x" * n for n in sizes]}, schema=pa.schema([("id", pa.int64()), ("html", pa.string())]))
+    parts = list(udfs.slices(batch, "html"))
+    assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(len(sizes)))
+    assert all(p.num_rows <= udfs.SLICE_ROWS and sum(len(t or "") for t in p.column("html").to_pylist()[:-1]) < udfs.SLICE_BYTES for p in parts)
+    assert list(udfs.slices(batch.slice(0, 0), "html")) == []
+
+
+def test_title_and_access_are_those_of_the_record():
+    pages = ["", "<title> a </title>", '<meta property="og:title" content="b"><title>a</title>', '<script type="application/ld+json">{"@type": "NewsArticle", "headline": "c", "isAccessibleForFree": true}</script>', '<script type="application/ld+json">{"@type": "NewsArticle", "isAccessibleForFree": false}</script>', '<meta name="twitter:title" content=" ">']
+    for page in pages:
+        record = html_scan.metadata(page, "https://a.example/")
+        assert html_scan.title_and_access(page) == (record["title"] and record["title"]["value"], record["accessible_for_free"])

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from webstrata.functions import decode, html_scan, readability, robots, srcset, urlspec
 from webstrata.sources import sitemap
@@ -124,42 +127,68 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, f)
 
 
+#: Pages, and bytes of them, that are read before what they give is handed on.
+SLICE_ROWS, SLICE_BYTES = 64, 1 << 20
+
+
+def slices(batch: pa.RecordBatch, source: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most SLICE_ROWS pages, and no page more once they have SLICE_BYTES."""
+    start = size = 0
+    for at, n in enumerate(pc.binary_length(batch.column(source)).to_pylist()):
+        if at > start and (at - start >= SLICE_ROWS or size >= SLICE_BYTES):
+            yield batch.slice(start, at - start)
+            start, size = at, 0
+        size += n or 0
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def read_by_slices(pages: DataFrame, keys: list[str], source: str, one: Callable[[dict], dict], record: str) -> DataFrame:
+    """keys and what one gives for every page. What is held of a batch beside the batch doesn't grow with it."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(record))
+    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = found = None
+            for part in slices(batch, source):
+                found = pa.RecordBatch.from_pylist([one(row) for row in part.to_pylist()], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), *found.columns], names=[*keys, *arrow.names])
+            del batch, part, found  # not held while the next batch comes
+
+    return pages.mapInArrow(run, f"{fields}, {record}")
+
+
 def metadata_records(pages: DataFrame, keys: list[str], charset: str | None = None) -> DataFrame:
     """keys and the metadata record of every page; takes `html` (text) or `body` (bytes), and `final_url`."""
     source = "html" if "html" in pages.columns else "body"
-    kept = pages.select(*keys, "final_url", source)
-    fields = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in keys)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame[source] if source == "html" else [None if b is None else decode.decoded(bytes(b), charset) for b in frame[source]]
-            if frame.empty:
-                continue
-            records = pd.DataFrame([html_scan.metadata(t or "", u or "") for t, u in zip(texts, frame["final_url"])])
-            yield pd.concat([frame[keys].reset_index(drop=True), records], axis=1)
+    def one(row: dict) -> dict:
+        text = row[source]
+        return html_scan.metadata((decode.decoded(text, charset) if isinstance(text, bytes) else text) or "", row["final_url"] or "")
 
-    return kept.mapInPandas(run, f"{fields}, {METADATA}")
+    return read_by_slices(pages.select(*keys, "final_url", source), keys, source, one, METADATA)
 
 
 def articles(pages: DataFrame, keys: list[str], rules: Mapping[str, readability.SiteRule] | None = None, other: readability.SiteRule | None = None) -> DataFrame:
-    """keys and the extraction of every page, by its host's rule or, without one, by `other`; takes html, final_url, title (text or null), host_dir and, if there, media_type and accessible_for_free."""
+    """keys and the extraction of every page, by its host's rule or, without one, by `other`; takes html, final_url, title (text or null), host_dir and, if there, media_type and accessible_for_free.
+
+    Pages without the column title are read for their metadata too, in the same pass; keys are then followed by title.
+    """
     rules = dict(rules or {})
-    more = [c for c in ("media_type", "accessible_for_free") if c in pages.columns]
-    kept = pages.select(*keys, *(F.col(c).alias(f"x_{c}") for c in ("final_url", "html", "title", "host_dir", *more)))
-    fields = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in keys)
+    read = "title" not in pages.columns
+    more = [c for c in ("title", "media_type", "accessible_for_free") if c in pages.columns]
+    kept = pages.select(*keys, *(F.col(c).alias(f"x_{c}") for c in ("final_url", "html", "host_dir", *more)))
 
-    def one(row) -> dict:
-        kind = getattr(row, "x_media_type", "text/html")
+    def one(row: dict) -> dict:
+        html, url, kind = row["x_html"] or "", row["x_final_url"] or "", row.get("x_media_type", "text/html")
+        title, free = html_scan.title_and_access(html) if read else (row["x_title"], row.get("x_accessible_for_free"))
         if kind in ("text/markdown", "text/x-markdown"):
-            return readability.served(row.x_html or "", row.x_final_url or "")
-        if kind not in ("text/html", "application/xhtml+xml"):
-            return readability.record("nothing", "heuristic")
-        free = getattr(row, "x_accessible_for_free", None)
-        return readability.article(row.x_html or "", row.x_final_url or "", row.x_title, None if free is None or free != free else bool(free), row.x_host_dir, rules.get(row.x_host_dir, other))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame([one(r) for r in frame.itertuples()])], axis=1)
-
-    return kept.mapInPandas(run, f"{fields}, {EXTRACTION}")
+            found = readability.served(html, url)
+        elif kind not in ("text/html", "application/xhtml+xml"):
+            found = readability.record("nothing", "heuristic")
+        else:
+            found = readability.article(html, url, title, free, row["x_host_dir"], rules.get(row["x_host_dir"], other))
+        return found | {"title": title} if read else found
+
+    return read_by_slices(kept, keys, "x_html", one, f"title string, {EXTRACTION}" if read else EXTRACTION)
