@@ -1,10 +1,12 @@
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from webstrata import cli
-from webstrata.functions import identity, texts, urls
+from webstrata.functions import identity, texts, udfs, urls
 from webstrata.operators import archive, assets
+from webstrata.plans import derived
 from webstrata.streaming import replay
 
 
@@ -101,3 +103,23 @@ def test_budget_streams_through_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len({r[5] for r in want}) > 3 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_records_leave_a_batch_in_parts(spark):
+    """A record is handed on before the pages behind it in its batch are read, and dates and lists stay what they were."""
+    html = F.concat(F.lit('<html lang="en"><meta name="date" content="20260724"><a href="/'), F.col("id").cast("string"), F.lit('" rel="me">x</a>'))
+    pages = spark.range(1000, numPartitions=1).select(F.col("id").alias("k"), F.when(F.col("id") != 5, html).alias("html"), F.lit("https://a.example/").alias("final_url"))
+    records = udfs.metadata_records(pages, ["k"])
+    parts = records.select("k").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert [r.k for r in records.where("language is null").collect()] == [5] and records.where("k = 7 and date_format(published_at.timestamp, 'yyyyMMdd HH') = '20260724 00' and links[0].url = 'https://a.example/7'").count() == 1
+    assert "MapInPandas" not in records._jdf.queryExecution().toString() and parts.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_articles_take_their_own_titles_in_one_pass(spark, sf_dir):
+    df = derived.article_markdown(spark, sf_dir)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 1
+    pages = derived.html_pages(spark, sf_dir)
+    titles = derived.metadata(spark, sf_dir).select("page_id", F.col("title.value").alias("title"), "accessible_for_free")
+    apart = udfs.articles(pages.join(titles, "page_id"), ["page_id"]).join(titles.select("page_id", "title"), "page_id")
+    columns = ["page_id", "title", "state", "rules", "word_count", "markdown", "accessible_for_free"]
+    assert sorted(map(str, derived.extracted(spark, sf_dir).select(columns).collect())) == sorted(map(str, apart.select(columns).collect()))

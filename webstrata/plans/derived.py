@@ -35,11 +35,9 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return udfs.metadata_records(html_pages(spark, sf_dir), ["page_id", "item_id", "capture_id"])
 
 
-def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose of every distinct page: what is the same in bytes and address is read once."""
-    pages = html_pages(spark, sf_dir)
-    titles = metadata(spark, sf_dir).select("page_id", F.col("title.value").alias("title"), "accessible_for_free")
-    return udfs.articles(pages.join(titles, "page_id"), ["page_id", "item_id", "capture_id"])
+def extracted(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Title and prose of every page, read in one pass; more: columns of captures to keep beside."""
+    return udfs.articles(html_pages(spark, sf_dir), ["page_id", "item_id", "capture_id", *more])
 
 
 @query(over(CAPTURES, "SELECT page_id, canonical_url FROM cap"))
