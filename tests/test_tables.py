@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from webstrata import cli
 from webstrata.functions import identity, texts, udfs, urls
 from webstrata.operators import archive, assets
-from webstrata.plans import derived
+from webstrata.plans import derived, export
 from webstrata.streaming import replay
 
 
@@ -123,3 +123,35 @@ def test_articles_take_their_own_titles_in_one_pass(spark, sf_dir):
     apart = udfs.articles(pages.join(titles, "page_id"), ["page_id"]).join(titles.select("page_id", "title"), "page_id")
     columns = ["page_id", "title", "state", "rules", "word_count", "markdown", "accessible_for_free"]
     assert sorted(map(str, derived.extracted(spark, sf_dir).select(columns).collect())) == sorted(map(str, apart.select(columns).collect()))
+
+
+def test_vault_reads_its_pages_once(spark, sf_dir):
+    """The files come from notes that are written once; they are those of captures, articles and titles apart."""
+    files = derived.vault_notes(spark, sf_dir)
+    assert "MapIn" not in files._jdf.queryExecution().optimizedPlan().toString()
+    read = derived.extracted(spark, sf_dir)
+    apart = export.notes(derived.captures(spark, sf_dir), read, derived.metadata(spark, sf_dir).select("item_id", "capture_id", F.col("title.value").alias("title")))
+    want = export.note_texts(export.linked(apart)).select("path", F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("bytes")).collect()
+    got = files.collect()
+    assert want and {tuple(r) for r in want} == {tuple(r) for r in got if not r.path.endswith("/index.md")}
+
+
+def test_names_of_notes_follow_those_taken(spark):
+    """As one walk over a host would name them, though no host is gathered; slugs that end like an item's digits included. Indexes list them by day and address."""
+    a, b = "a" * 64, "b" * 64
+    cut = "one-" + a[:12]
+    given = [("h", "1", a, "c1", cut), ("h", "2", b, "c2", "one"), ("h", "3", a, "c3", "one"), ("h", "4", a, "c4", "one"), ("h", "5", a, "c5", cut), ("g", "1", a, "c6", "one"), ("h", "0", b, "c7", "two")]
+    rows = spark.createDataFrame([(i, c, f"https://{h}/{u}", h, t, "article", "text") for h, u, i, c, t in given], "item_id string, capture_id string, canonical_url string, host_dir string, title string, state string, markdown string").withColumn("fetched_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    vault = export.notes(rows, all_captures=True)
+    want = {}
+    taken = set()
+    for h, u, i, c, slug in sorted(given):
+        base = f"2024-01-02-{slug}"
+        want[c] = next((n for n in (base, f"{base}-{i[:12]}") if (h, n) not in taken), f"{base}-{c}")
+        taken.add((h, want[c]))
+    assert {r.capture_id: r.path.split("/")[1][:-3] for r in vault.collect()} == want
+    assert "FlatMapGroupsInPandas" not in vault._jdf.queryExecution().toString()
+    later = vault.withColumn("day", F.when(F.col("capture_id") == "c1", "2024-01-03").when(F.col("capture_id") != "c2", F.col("day")))
+    text = {r.path: r.text for r in export.host_indexes(later).collect()}["h/index.md"]
+    lines = [f"- 2024-01-02 [{t}]({want[c]}.md)" for h, u, i, c, t in sorted(given, key=lambda r: r[1]) if h == "h" and c not in ("c1", "c2")]
+    assert text == "# h\n\n" + "\n".join([*lines, f"- 2024-01-03 [{cut}]({want['c1']}.md)"]) + "\n"

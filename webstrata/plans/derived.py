@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions import readability, robots, udfs, urls
-from webstrata.operators import archive, assets, crawl
+from webstrata.operators import archive, assets, crawl, scratch
 from webstrata.plans import export
 from webstrata.plans.native import all_links, captures, values
 from webstrata.plans.sql import CAPTURES, LINKS, over
@@ -83,10 +83,8 @@ def article_by_site_rule(spark, sf_dir):
 
 @query()
 def vault_notes(spark, sf_dir):
-    rows = captures(spark, sf_dir)
-    titles = metadata(spark, sf_dir).select("item_id", "capture_id", F.col("title.value").alias("title"))
-    vault = export.linked(export.notes(rows, extracted(spark, sf_dir), titles))
-    files = export.note_texts(vault).unionByName(export.host_indexes(vault))
+    notes = scratch.written(export.notes(extracted(spark, sf_dir, "canonical_url", "host_dir", "fetched_at")), "notes")
+    files = export.note_texts(export.linked(notes)).unionByName(export.host_indexes(notes))
     return files.select("path", F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("bytes"))
 
 
